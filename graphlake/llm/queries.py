@@ -7,18 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm import simhash
+from graphlake.llm import linededup, mixing, simhash
 from graphlake.llm.common import read
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixed(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = simhash.simhash_components(read(spark, sf_dir, "documents"))
     return own.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_simhash": op9_simhash}
+    return {"op6_mixing": op6_mixing, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": mixing.ORACLE, "op8_line_dedup": linededup.ORACLE}
