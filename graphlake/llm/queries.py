@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm import linededup, mixing, simhash
+from graphlake.llm import linededup, mixing, packing, simhash
 from graphlake.llm.common import read
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
@@ -27,8 +31,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_mixing": op6_mixing, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash}
+    return {"op5_packing": op5_packing, "op6_mixing": op6_mixing, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.ORACLE, "op8_line_dedup": linededup.ORACLE}
+    return {"op5_packing": op5_packing, "op6_mixing": mixing.ORACLE, "op8_line_dedup": linededup.ORACLE}
