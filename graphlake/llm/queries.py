@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm import linededup, mixing, packing, simhash
+from graphlake.llm import linededup, mixing, packing, simhash, toxicity
 from graphlake.llm.common import read
 
 
@@ -20,6 +20,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(toxicity.fold() != 0))
+    return toxicity.scored(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(toxicity.fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -31,7 +37,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_packing": op5_packing, "op6_mixing": op6_mixing, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash}
+    return {"op5_packing": op5_packing, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
