@@ -1,10 +1,57 @@
-"""The corpus pipeline: toxicity, line dedup, near-dedup, mixing, packing."""
+"""The corpus pipeline: toxic documents go, common lines go, one document of each near-duplicate group stays, sources are mixed to their targets, and what is left is packed into sequences.
+
+Each stage is a function of (spark, docs, sf_dir) that applies one operator to all rows it gets; ``run`` writes each stage's rows as Parquet in the shared folder and reads them again. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphlake.llm import linededup, mixing, packing, simhash, toxicity
+from graphlake.llm.common import read, stage
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a model fitted on the labels of four folds of five calls toxic go."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").filter(toxicity.fold() != 0))
+    return toxicity.scored(docs, model).filter("predicted = 0").select(docs.columns)
+
+
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines whose key ten documents or more hold go; n_chars follows the text. Documents that lose all their lines stay, empty."""
+    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by fingerprints of at most four differing bits, that with the least id stays."""
+    return simhash.keep_first(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate and its draw say."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document with its sequence and place; a document that was mixed in twice is packed twice."""
+    return packing.packed(docs).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_common_lines),
+    ("simhash near-dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: A trained classifier and a tokenizer have no SQL; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, apply in STAGES[:-1]:
+        docs = stage(apply(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
