@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm import linededup, mixing, packing, simhash, syncmer, toxicity
+from graphlake.llm import linededup, mixing, packing, simhash, syncmer, toxicity, warc
 from graphlake.llm.common import read
 
 
@@ -40,9 +40,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_syncmers": op4_syncmers, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash}
+    return {"op4_syncmers": op4_syncmers, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_packing": op5_packing, "op6_mixing": mixing.ORACLE, "op8_line_dedup": linededup.ORACLE}
+    return {"op5_packing": op5_packing, "op6_mixing": mixing.ORACLE, "op8_line_dedup": linededup.ORACLE, "op10_warc": warc.ORACLE}
