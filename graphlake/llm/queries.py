@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm import linededup, mixing, packing, simhash, syncmer, toxicity, warc
+from graphlake.llm import chat, license_scan, linededup, mixing, packing, simhash, syncmer, toxicity, warc
 from graphlake.llm.common import read
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_pairs(*chat.swapped_replies(read(spark, sf_dir, "conversations")))
+
+
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmer.fingerprints_with_edits(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -45,8 +53,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_syncmers": op4_syncmers, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
+    return {"op2_license_scan": op2_license_scan, "op3_preferences": op3_preferences, "op4_syncmers": op4_syncmers, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_packing": op5_packing, "op6_mixing": mixing.ORACLE, "op8_line_dedup": linededup.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op2_license_scan": license_scan.ORACLE, "op3_preferences": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op8_line_dedup": linededup.ORACLE, "op10_warc": warc.ORACLE}
