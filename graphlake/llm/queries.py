@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm import chat, license_scan, linededup, mixing, packing, simhash, syncmer, toxicity, warc
+from graphlake.llm import chat, covertree, license_scan, linededup, mixing, packing, simhash, syncmer, toxicity, warc
 from graphlake.llm.common import read
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -53,7 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_license_scan": op2_license_scan, "op3_preferences": op3_preferences, "op4_syncmers": op4_syncmers, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
+    return {"op1_cover_tree": op1_cover_tree, "op2_license_scan": op2_license_scan, "op3_preferences": op3_preferences, "op4_syncmers": op4_syncmers, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
