@@ -41,7 +41,7 @@ def with_previous(commits: DataFrame, cached: DataFrame, repo: str = "repo") ->
     """Each commit with the commit before it, if a snapshot of that one is cached (repo, hash)."""
     before = commits.withColumn("previous", F.lag("hash").over(Window.partitionBy(repo).orderBy("ts", "seq")))
     known = cached.select(repo, F.col("hash").alias("previous"), F.lit(True).alias("__there")).distinct()
-    return before.join(known, [repo, "previous"], "left").withColumn("previous", F.when("__there", F.col("previous"))).drop("__there")
+    return before.join(known, [repo, "previous"], "left").withColumn("previous", F.when(F.col("__there"), F.col("previous"))).drop("__there")
 
 
 def trends(metrics: DataFrame, repo: str = "repo", *columns: str) -> DataFrame:
