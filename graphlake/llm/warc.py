@@ -23,7 +23,7 @@ LEAST_BYTES = 100  # payloads below are archived each time
 FILE_RECORDS = 2000  # in an archive file, at most
 EPOCH = datetime.datetime(2024, 1, 1)  # capture time of page 0 where none is given; each further page a second later
 RANGE_ROWS = 20_000  # captures of a merged range, about
-SAMPLE = 20_000  # index keys that bounds are taken from, at most
+SAMPLE = 5_000  # index keys that bounds are taken from, about
 
 
 def url_key(url: str | None) -> str:
@@ -178,16 +178,17 @@ def _order(row: tuple) -> tuple:
 def merged(entries: DataFrame) -> DataFrame:
     """All captures with range and place: ordered by these two they are in global order of URL key, date and page. ``entries`` must be staged.
 
-    Bounds between ranges are taken from a bounded sample of the keys with date, page, file and offset, so one URL with many captures splits as well; ranges only differ in size by it.
+    Bounds between ranges are taken from about SAMPLE of the keys with date, page, file and offset, so one URL with many captures splits as well; ranges only differ in size by it.
     """
     total = entries.count()
     ranges = max(1, -(-total // RANGE_ROWS))
     key = F.struct("url_key", "date", F.col("page_id").isNotNull().alias("has"), F.coalesce("page_id", F.lit(0)).alias("page"), "file", "offset")
     bounds: list = []
     if ranges > 1:
-        some = entries.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(SAMPLE)
+        some = entries.select(key.alias("k")).filter(F.pmod(F.xxhash64("k"), F.lit(max(1, total // SAMPLE))) == 0)
         keys = sorted(tuple(r[0]) for r in some.collect())
-        bounds = sorted({keys[i * len(keys) // min(ranges, len(keys))] for i in range(1, min(ranges, len(keys)))})
+        ranges = min(ranges, len(keys))
+        bounds = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)})
     names = [x.split()[0] for x in ENTRY.split(", ")]
     out = f"{ENTRY}, range int, place long"
 
