@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from graphlake.functions.rules import SCRIPTS
 
@@ -140,12 +142,10 @@ def references(text: str) -> list[dict]:
 def extracted(files: DataFrame) -> DataFrame:
     """files (rel, ext, text) -> (file, symbols, refs, imports, error); a text that can't be read gives an error, not a failure."""
     known = dict(_registry)
+    ddl = f"file string, symbols {SYMBOLS}, refs {REFS}, imports {IMPORTS}, error string"
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
-
-        schema = to_arrow_schema(_parse_datatype_string(f"file string, symbols {SYMBOLS}, refs {REFS}, imports {IMPORTS}, error string"))
         for b in batches:
             rows = []
             for rel, ext, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -159,7 +159,7 @@ def extracted(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     used = files.filter(F.col("text").isNotNull() & F.col("ext").isin(list(known))).select("rel", "ext", "text")
-    return used.mapInArrow(run, f"file string, symbols {SYMBOLS}, refs {REFS}, imports {IMPORTS}, error string")
+    return used.mapInArrow(run, ddl)
 
 
 NODES = "array<struct<id:string,type:string,name:string,fqn:string,path:string,body_sig:string>>"
@@ -215,12 +215,10 @@ def python_facts(path: str, text: str) -> tuple[list[dict], list[dict]]:
 
 def python_graph(files: DataFrame) -> DataFrame:
     """files (rel, text) -> (file, nodes, edges, error)."""
+    ddl = f"file string, nodes {NODES}, edges {EDGES}, error string"
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
-
-        schema = to_arrow_schema(_parse_datatype_string(f"file string, nodes {NODES}, edges {EDGES}, error string"))
         for b in batches:
             rows = []
             for rel, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -231,4 +229,4 @@ def python_graph(files: DataFrame) -> DataFrame:
                     rows.append({"file": rel, "nodes": [], "edges": [], "error": str(e)})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("rel", "text").mapInArrow(run, f"file string, nodes {NODES}, edges {EDGES}, error string")
+    return files.select("rel", "text").mapInArrow(run, ddl)

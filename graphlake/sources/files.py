@@ -12,12 +12,20 @@ from graphlake.operators.lines import line_count
 
 
 def file_tree(spark: SparkSession, root: str, limits=LIMITS) -> DataFrame:  # noqa: ANN001
-    """(rel, ext, language, text, loc, ord): files of known languages; skipped and hidden directories are left out, hidden files are not. Sizes prune files before their bytes are read; text is kept for source files."""
+    """(rel, ext, language, text, loc, ord): files of known languages; skipped and hidden directories are left out. Sizes prune files before their bytes are read; text is kept for source files.
+
+    Spark's file sources never show names that begin with a dot or an underscore; ``snapshots.archives`` reads trees that have such files whole.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= limits.max_file_bytes)
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", ""), "^" + _quoted(base) + "/", "")
+    return scanned(found.withColumn("rel", rel), limits)
+
+
+def scanned(found: DataFrame, limits=LIMITS) -> DataFrame:  # noqa: ANN001
+    """``found`` (rel, content) as a file tree."""
     skipped = "|".join(_quoted(d) for d in rules.SKIPPED_DIRS)
-    out = found.withColumn("rel", rel).filter(~F.col("rel").rlike(rf"(^|/)({skipped}|\.[^/]+)/"))
+    out = found.filter(~F.col("rel").rlike(rf"(^|/)({skipped}|\.[^/]+)/"))
     out = with_language(out).withColumn("text", F.when(F.col("ext").isin(rules.CODE), F.decode("content", "UTF-8")))
     return out.select("rel", "ext", "language", "text", F.when(F.col("text").isNotNull(), line_count(F.col("text"))).otherwise(0).alias("loc"), F.xxhash64("rel").alias("ord")).orderBy("rel").limit(limits.max_files)
 
