@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphlake.config import LIMITS
 
 
-def _settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once, in the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -26,7 +26,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int = LIMITS.depth, reverse
     front = seen
     for k in range(1, depth + 1):
         new = front.join(step, front.node == step.a).select("seed", F.col("b").alias("node")).distinct()
-        front = _settled(new.join(seen, ["seed", "node"], "left_anti").withColumn("hops", F.lit(k)))
+        front = settled(new.join(seen, ["seed", "node"], "left_anti").withColumn("hops", F.lit(k)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -61,7 +61,7 @@ def shortest_path(edges: DataFrame, src: object, dst: object, depth: int = LIMIT
     seen, front = start.select("node"), start
     for _ in range(depth):
         new = front.join(edges, front.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("path"))
-        front = _settled(new.join(seen, "node", "left_anti").select("node", F.concat("path", F.array("node")).alias("path")))
+        front = settled(new.join(seen, "node", "left_anti").select("node", F.concat("path", F.array("node")).alias("path")))
         hit = front.filter(F.col("node") == F.lit(dst))
         if not hit.isEmpty():
             return hit.select("path")
@@ -75,7 +75,7 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels (node, label) lowered along edges (a label goes from src to dst within a colour) until nothing changes; edges (src, dst)."""
     while True:
         low = edges.join(labels.withColumnsRenamed({"node": "src"}), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("low"))
-        new = _settled(labels.join(low, "node", "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"), (F.col("low") < F.col("label")).alias("moved")))
+        new = settled(labels.join(low, "node", "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"), (F.col("low") < F.col("label")).alias("moved")))
         if new.filter("moved").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
@@ -83,7 +83,7 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 def weak_components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each weakly connected component, for all nodes of an edge."""
-    both = _settled(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    both = settled(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     return _spread(both, both.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct())
 
 
@@ -93,7 +93,7 @@ def _trim(edges: DataFrame) -> DataFrame:
     while True:
         outs, ins = edges.select(F.col("src").alias("n")).distinct(), edges.select(F.col("dst").alias("n")).distinct()
         alive = outs.join(ins, "n", "left_semi")
-        edges = _settled(edges.join(alive.withColumnRenamed("n", "src"), "src", "left_semi").join(alive.withColumnRenamed("n", "dst"), "dst", "left_semi"))
+        edges = settled(edges.join(alive.withColumnRenamed("n", "src"), "src", "left_semi").join(alive.withColumnRenamed("n", "dst"), "dst", "left_semi"))
         if (m := edges.count()) == n:
             return edges
         n = m
@@ -108,15 +108,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
     found = None
     while not left.isEmpty():
         nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
-        colour = _settled(_spread(left, nodes.withColumn("label", F.col("node"))))
-        within = _settled(left.join(colour.withColumnsRenamed({"node": "src", "label": "c"}), "src").join(colour.withColumnsRenamed({"node": "dst", "label": "d"}), "dst").filter("c = d").select("src", "dst", "c"))
+        colour = settled(_spread(left, nodes.withColumn("label", F.col("node"))))
+        within = settled(left.join(colour.withColumnsRenamed({"node": "src", "label": "c"}), "src").join(colour.withColumnsRenamed({"node": "dst", "label": "d"}), "dst").filter("c = d").select("src", "dst", "c"))
         done = colour.filter("node = label")
         front = done
         while not front.isEmpty():
             back = within.join(front.withColumnsRenamed({"node": "dst", "label": "c"}), ["dst", "c"]).select(F.col("src").alias("node"), F.col("c").alias("label")).distinct()
-            front = _settled(back.join(done, ["node", "label"], "left_anti"))
+            front = settled(back.join(done, ["node", "label"], "left_anti"))
             done = done.unionByName(front)
-        done = _settled(done)
+        done = settled(done)
         big = done.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1")
         part = done.join(big.select("label"), "label", "left_semi").select("node", "label")
         found = part if found is None else found.unionByName(part)
@@ -134,11 +134,11 @@ def tiers(edges: DataFrame, most: int = 10_000) -> DataFrame:
     """(node, tier): the longest path to a sink; edges within a cycle are left out first, so that members of a cycle are ranked by what lies below it."""
     scc = strong_components(edges)
     a, b = scc.withColumnsRenamed({"node": "src", "label": "c"}), scc.withColumnsRenamed({"node": "dst", "label": "d"})
-    dag = _settled(edges.filter("src <> dst").select("src", "dst").distinct().join(a, "src", "left").join(b, "dst", "left").filter("c is null or d is null or c <> d").select("src", "dst"))
+    dag = settled(edges.filter("src <> dst").select("src", "dst").distinct().join(a, "src", "left").join(b, "dst", "left").filter("c is null or d is null or c <> d").select("src", "dst"))
     tier = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().withColumn("tier", F.lit(0))
     for _ in range(most):
         up = dag.join(tier.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg((F.max("tier") + 1).alias("up"))
-        new = _settled(tier.join(up, "node", "left").select("node", F.greatest("tier", F.coalesce("up", F.lit(0))).alias("tier"), (F.col("up") > F.col("tier")).alias("moved")))
+        new = settled(tier.join(up, "node", "left").select("node", F.greatest("tier", F.coalesce("up", F.lit(0))).alias("tier"), (F.col("up") > F.col("tier")).alias("moved")))
         if new.filter("moved").isEmpty():
             break
         tier = new.select("node", "tier")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphlake.config import LIMITS
 from graphlake.functions import rules
 from graphlake.functions.scalars import token_estimate, xml_escape
+from graphlake.operators.graph import settled as _settled
 
 
 def search_score(query: str):  # noqa: ANN201
@@ -104,7 +105,8 @@ def context(symbols: DataFrame, edges: DataFrame, query: str, budget: int = 3000
         seeds = seeds.unionByName(f)
     place = F.struct("part", -F.col("score"), "ord")
     seeds = seeds.groupBy("id").agg(F.min(place).alias("at"), F.first("container").alias("container")).orderBy("at").limit(8)
-    seeds = seeds.withColumn("i", F.row_number().over(Window.orderBy("at")) - 1).select("id", "container", "i")
+    # Eight rows at most; written once, as all that follows reads them.
+    seeds = _settled(seeds.withColumn("i", F.row_number().over(Window.orderBy("at")) - 1).select("id", "container", "i"))
     ids = seeds.select("id")
 
     def part(df: DataFrame, reason: str, score: int, cap: int | None, turn: int) -> DataFrame:
