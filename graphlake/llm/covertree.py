@@ -18,7 +18,7 @@ from graphlake.llm.common import stage
 from graphlake.llm.components import components
 from graphlake.llm.simhash import Forest
 
-SAMPLE = 8192  # vectors that the pivots are chosen from, at most
+SAMPLE = 4096  # vectors that the pivots are chosen from, about, by a hash
 PIVOTS = 512  # at most, and one for CELL vectors
 CELL = 512
 BLOCK = 8192  # vectors of a block, about
@@ -195,8 +195,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 def _links(classes: DataFrame, count: int, cosine: float) -> tuple[DataFrame, DataFrame]:
     """(k1, k2, links), summed by the caller, and edges (a1, a2, b1, b2) of the classes of one length."""
-    sample = classes.select("v", F.xxhash64("k1", "k2").alias("h")).orderBy("h").limit(SAMPLE).select("v").toArrow().column(0)
-    x = unit(np.array([r.as_py() for r in sample], np.float64))
+    sample = classes.filter(F.pmod(F.xxhash64("k1", "k2"), F.lit(max(1, count // SAMPLE))) == 0).select("v").toArrow().column(0)
+    x = unit(np.array([r.as_py() for r in sample], np.float64).reshape(len(sample), -1)) if len(sample) else unit(np.array([classes.first().v]))
     centres = x[pivots(x, max(1, min(PIVOTS, -(-count // CELL))))]
     limit = float(np.sqrt(2 - 2 * cosine))
 
