@@ -1,6 +1,6 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them. DataFrame functions only.
 
-A text's word shingles are hashed; windows of ``SPAN`` shingles start every ``STRIDE``. A band is the least of a window's hashes after an exclusive or with the band's constant, one row a band, so windows of similarity J meet in a band with probability J and in one of b bands with 1 - (1 - J)^b. Templates are windowed at every start. A copy of SPAN + STRIDE - 1 shingles or more holds an aligned window and is always met; even a template of one shingle lies in two windows of eight, which 48 bands miss once in 6000. Every template that met a document is then compared with all of its shingles exactly.
+A text's word shingles are hashed; windows of ``SPAN`` shingles start every ``STRIDE``. A band is the least of a window's hashes after an exclusive or with the band's constant, one row a band, so windows of similarity J meet in a band with probability J; bands are not independent, as the high bits decide in all of them, so a shingle can be missed by every band. Templates are windowed at every start. What bands miss, leads meet: a text that holds m of a template's n distinct shingles holds one of any n - m + 1 of them, so that many, with the least m that the similarity allows, are looked up as they are and no template is missed. Every template that met a document is then compared with all of its shingles exactly.
 """
 
 from __future__ import annotations
@@ -65,6 +65,13 @@ def banded(df: DataFrame, key: str, hashes: str, stride: int) -> DataFrame:
     return rows.select(key, F.col("__b.band").alias("band"), F.least(*[F.col(f"__h{k}").bitwiseXOR(F.col("__b.c")) for k in range(SPAN)]).alias("low"))
 
 
+def leads(known: DataFrame, similarity: float) -> DataFrame:
+    """(license_id, low): of each template's n distinct shingles the first n - m + 1, m being the least number that is enough."""
+    h = F.array_distinct(shingle_hashes(F.col("tokens")))
+    few = F.size(F.filter(F.sequence(F.lit(0), F.size("h")), lambda m: m / F.size("h") < similarity))
+    return known.select("license_id", h.alias("h")).select("license_id", F.explode(F.slice("h", 1, F.greatest(F.size("h") - F.greatest(few, F.lit(1)) + 1, F.lit(0)))).alias("low"))
+
+
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     """(license_id, license_shingles); the list is a parameter, so its size is the caller's."""
     rows = spark.createDataFrame(templates, "license_id string, text string")
@@ -81,7 +88,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
     marks = banded(known.select("license_id", shingle_hashes(F.col("tokens")).alias("h")), "license_id", "h", 1).distinct()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     hashed = own.select("key", words(F.col("text")).alias("tokens")).select("key", shingle_hashes(F.col("tokens")).alias("h"))
-    met = stage(banded(hashed, "key", "h", STRIDE).join(F.broadcast(marks), ["band", "low"]).select("key", "license_id").distinct(), "license-candidates")
+    by_band = banded(hashed, "key", "h", STRIDE).join(F.broadcast(marks), ["band", "low"]).select("key", "license_id")
+    # explode_outer: explode would add a filter on h below, with the words split inside its lambda.
+    by_lead = hashed.select("key", F.explode_outer("h").alias("low")).join(F.broadcast(leads(known, similarity)), "low").select("key", "license_id")
+    met = stage(by_band.unionByName(by_lead).distinct(), "license-candidates")
     found = own.join(F.broadcast(met) if few_rows(met) else met, "key").join(F.broadcast(known.select("license_id", "license_shingles")), "license_id")
     # The words are a column of their own: inside the shingles' lambda they would be split anew for each shingle.
     found = found.select("id", "license_id", "license_shingles", words(F.col("text")).alias("tokens")).select("id", "license_id", "license_shingles", shingles(F.col("tokens")).alias("own"))

@@ -46,3 +46,21 @@ def test_many_candidates_are_joined(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "few_rows", lambda df: False)
     docs = spark.createDataFrame([(1, "Released under the MIT License.")] * 3, "doc_id long, text string")
     assert license_scan.scan(docs).count() == 3
+
+
+def test_a_lone_shingle_is_always_met(spark):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for i in range(600):
+        words = [word() for _ in range(rng.randrange(1, 80))]
+        at = rng.randrange(len(words) + 1)
+        texts.append((i, " ".join(words[:at] + ["Released under the MIT License."] + words[at:])))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(r.id for r in license_scan.scan(docs).collect()) == list(range(600))
+
+
+def test_leads_are_as_many_as_the_similarity_lets_be_missing(spark):
+    known = license_scan.template_table(spark, [(str(n), " ".join(f"w{k}" for k in range(n))) for n in (1, 5, 6, 9, 14, 104)])
+    count = lambda s: {r.license_id: r["count"] for r in license_scan.leads(known, s).groupBy("license_id").count().collect()}
+    assert count(0.8) == {"1": 1, "5": 1, "6": 1, "9": 2, "14": 3, "104": 21} and set(count(1.0).values()) == {1}
