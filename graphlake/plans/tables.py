@@ -163,9 +163,9 @@ def module_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- the call graph ----
 
 
-def _calls(spark: SparkSession, sf_dir: str, lines: int = 9) -> DataFrame:
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, n): parts on following returned lines of an order."""
-    li = table(spark, sf_dir, "lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_linenumber") <= lines))
+    li = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
     at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     pairs = li.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(at).alias("dst")).filter("src <> dst")
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
@@ -175,8 +175,8 @@ def _sql_calls(lines: int = 9) -> str:
     return f"c AS (SELECT src, dst, count(*) AS n FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber <= {lines}) WHERE src <> dst GROUP BY ALL)"
 
 
-def _symbols(spark: SparkSession, sf_dir: str, lines: int = 9) -> DataFrame:
-    c = _calls(spark, sf_dir, lines)
+def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _calls(spark, sf_dir)
     ins, outs = c.groupBy(F.col("dst").alias("id")).agg(F.sum(F.least("n", F.lit(5))).alias("fan_in")), c.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("fan_out"))
     kinds = F.element_at(F.array(*map(F.lit, ("function", "method", "class", "component"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     p = table(spark, sf_dir, "part").select(
@@ -204,7 +204,7 @@ def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @of(f"WITH {_sql_symbols(2)} SELECT id, kind FROM s WHERE kind IN ('function', 'method') AND fan_in = 0 AND NOT regexp_matches(name, '{rules.ENTRY_POINTS}')")
 def dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query.dead_code(_symbols(spark, sf_dir, 2)).select("id", "kind")
+    return query.dead_code(_symbols(spark, sf_dir)).select("id", "kind")
 
 
 def _score_sql(q: str) -> str:
@@ -253,17 +253,17 @@ def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @of(f"WITH RECURSIVE {_sql_calls(2)}, e AS (SELECT src AS a, dst AS b FROM c UNION SELECT dst, src FROM c), r AS (SELECT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a) SELECT node, min(other) AS label FROM r GROUP BY node")
 def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.weak_components(_calls(spark, sf_dir, 2).select("src", "dst"))
+    return graph.weak_components(_calls(spark, sf_dir).select("src", "dst"))
 
 
 @of(f"WITH RECURSIVE {_sql_calls(2)}, r AS (SELECT src AS a, dst AS b FROM c UNION SELECT r.a, c.dst FROM r JOIN c ON r.b = c.src), m AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a), g AS (SELECT a AS node, min(b) AS label FROM m GROUP BY a), t AS (SELECT least(node, label) AS label, node FROM g) SELECT node, label FROM t WHERE label IN (SELECT label FROM t GROUP BY label HAVING count(*) > 1)")
 def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.strong_components(_calls(spark, sf_dir, 2).select("src", "dst"))
+    return graph.strong_components(_calls(spark, sf_dir).select("src", "dst"))
 
 
 @of(f"WITH RECURSIVE {_sql_calls(2)}, d AS (SELECT src, dst FROM c WHERE src < dst), r AS (SELECT dst AS node, 0 AS tier FROM d UNION SELECT d.src, r.tier + 1 FROM r JOIN d ON r.node = d.dst) SELECT node, CAST(max(tier) AS INT) AS tier FROM r GROUP BY node")
 def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.tiers(_calls(spark, sf_dir, 2).filter("src < dst").select("src", "dst"))
+    return graph.tiers(_calls(spark, sf_dir).filter("src < dst").select("src", "dst"))
 
 
 # ---- findings ----
