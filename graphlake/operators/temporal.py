@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,14 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, k: int, digits: int
     return vectors.join(F.broadcast(queries)).select("query", "id", score.alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def semantic_search_all(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int = 5000) -> DataFrame:
+    """``semantic_search`` of any number of queries, in blocks of about ``block``; the work is that of all pairs."""
+    blocks = max(1, -(-queries.count() // block))
+    mine = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    found = [semantic_search(vectors, queries.filter(mine == b), k, digits) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select("id").distinct()
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")

@@ -224,13 +224,13 @@ def _call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @of(f"WITH {_sql_calls()} SELECT dst AS of, src AS id FROM c WHERE dst <= 20")
 def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _symbols(spark, sf_dir).select("id", "name")
-    return query.callers(s, _call_edges(spark, sf_dir), s.filter("id <= 20")).select("of", "id")
+    return query.callers(s, _call_edges(spark, sf_dir), s).select("of", "id")
 
 
 @of(f"WITH {_sql_calls()} SELECT src AS of, dst AS id FROM c WHERE src <= 20")
 def callees(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _symbols(spark, sf_dir).select("id", "name")
-    return query.callees(s, _call_edges(spark, sf_dir), s.filter("id <= 20")).select("of", "id")
+    return query.callees(s, _call_edges(spark, sf_dir), s).select("of", "id")
 
 
 def _sql_reach(a: str, b: str) -> str:
@@ -238,7 +238,7 @@ def _sql_reach(a: str, b: str) -> str:
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter("p_partkey <= 10").select(F.col("p_partkey").alias("seed"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seed"))
 
 
 @of(_sql_reach("src", "dst"))
@@ -450,7 +450,7 @@ def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @of("WITH q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id < 5), s AS (SELECT query, vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[])))), 6) AS score FROM embeddings, q) SELECT query, id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10")
 def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return temporal.semantic_search(e, e.filter("id < 5").select(F.col("id").alias("query"), F.col("v").alias("q")), 10)
+    return temporal.semantic_search_all(e, e.select(F.col("id").alias("query"), F.col("v").alias("q")), 10)
 
 
 @of("SELECT sha256(text) AS content_hash, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY ALL")
