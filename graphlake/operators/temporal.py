@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlake.functions.scalars import candidate_score, cosine, live_at
+from graphlake.functions.scalars import candidate_score, live_at
 
 
 def as_of(rows: DataFrame, at: object) -> DataFrame:
@@ -53,20 +53,26 @@ def conflicts(edges: DataFrame, claim: str = "claim") -> DataFrame:
     return edges.groupBy(claim).agg(F.count_if(F.col("rel") == "SUPPORTS").alias("supports"), F.count_if(F.col("rel") == "CONTRADICTS").alias("contradicts"))
 
 
-def semantic_search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """vectors (id, v), queries (query, q; few: broadcast after a count) -> the ``k`` likeliest by cosine for each query."""
-    if queries.count() > 10_000:
-        raise ValueError("split the queries into blocks of 10 000")
-    score = F.round(cosine(F.col("v"), F.col("q")), digits)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return vectors.join(F.broadcast(queries)).select("query", "id", score.alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k)
+def _norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
 
+def semantic_search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int = 2000) -> DataFrame:
+    """vectors (id, v), queries (query, q) -> (query, id, score, rank): the ``k`` likeliest by cosine for each query, by id on ties.
 
-def semantic_search_all(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int = 5000) -> DataFrame:
-    """``semantic_search`` of any number of queries, in blocks of about ``block``; the work is that of all pairs."""
+    Norms are taken once per row. A block of at most about ``block`` queries is broadcast at a time and stands against all vectors; each
+    partition keeps its own best before the rest is compared.
+    """
     blocks = max(1, -(-queries.count() // block))
-    mine = F.pmod(F.xxhash64("query"), F.lit(blocks))
-    found = [semantic_search(vectors, queries.filter(mine == b), k, digits) for b in range(blocks)]
+    dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    norms = F.col("nv") * F.col("nq")
+    score = F.round(F.when(norms == 0, 0.0).otherwise(dot / F.nullif(norms, F.lit(0.0))), digits)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    normed, found = vectors.select("id", "v", _norm(F.col("v")).alias("nv")), []
+    for b in range(blocks):
+        mine = queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).select("query", "q", _norm(F.col("q")).alias("nq"))
+        scored = normed.join(F.broadcast(mine)).select("query", "id", score.alias("score"))
+        found.append(scored.withColumn("rank", rank).filter(F.col("rank") <= k))
     return reduce(DataFrame.unionByName, found)
 
 

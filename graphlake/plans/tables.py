@@ -171,8 +171,8 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def _sql_calls(lines: int = 9) -> str:
-    return f"c AS (SELECT src, dst, count(*) AS n FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber <= {lines}) WHERE src <> dst GROUP BY ALL)"
+def _sql_calls() -> str:
+    return "c AS (SELECT src, dst, count(*) AS n FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem WHERE l_returnflag = 'R') WHERE src <> dst GROUP BY ALL)"
 
 
 def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,8 +186,8 @@ def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(ins, "id", "left").join(outs, "id", "left").na.fill(0, ["fan_in", "fan_out"])
 
 
-def _sql_symbols(lines: int = 9) -> str:
-    return f"""{_sql_calls(lines)}, fi AS (SELECT dst AS id, sum(least(n, 5)) AS fan_in FROM c GROUP BY dst), fo AS (SELECT src AS id, count(*) AS fan_out FROM c GROUP BY src),
+def _sql_symbols() -> str:
+    return f"""{_sql_calls()}, fi AS (SELECT dst AS id, sum(least(n, 5)) AS fan_in FROM c GROUP BY dst), fo AS (SELECT src AS id, count(*) AS fan_out FROM c GROUP BY src),
 s AS (SELECT p_partkey AS id, p_name AS name, ['function', 'method', 'class', 'component'][p_partkey % 4 + 1] AS kind, p_type AS signature, p_size % 2 = 0 AS exported, lower(p_brand) AS tag, p_size AS line, p_size AS complexity,
       'f' || (p_partkey % 50) AS file, CAST(coalesce(fan_in, 0) AS BIGINT) AS fan_in, CAST(coalesce(fan_out, 0) AS BIGINT) AS fan_out FROM part LEFT JOIN fi ON p_partkey = fi.id LEFT JOIN fo ON p_partkey = fo.id)"""
 
@@ -202,7 +202,7 @@ def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query.hubs(_symbols(spark, sf_dir)).select("id", "name", "fan_in", "fan_out")
 
 
-@of(f"WITH {_sql_symbols(2)} SELECT id, kind FROM s WHERE kind IN ('function', 'method') AND fan_in = 0 AND NOT regexp_matches(name, '{rules.ENTRY_POINTS}')")
+@of(f"WITH {_sql_symbols()} SELECT id, kind FROM s WHERE kind IN ('function', 'method') AND fan_in = 0 AND NOT regexp_matches(name, '{rules.ENTRY_POINTS}')")
 def dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query.dead_code(_symbols(spark, sf_dir)).select("id", "kind")
 
@@ -221,20 +221,20 @@ def _call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _calls(spark, sf_dir).select("src", "dst", F.lit("calls").alias("kind"))
 
 
-@of(f"WITH {_sql_calls()} SELECT dst AS of, src AS id FROM c WHERE dst <= 20")
+@of(f"WITH {_sql_calls()} SELECT dst AS of, src AS id FROM c")
 def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _symbols(spark, sf_dir).select("id", "name")
     return query.callers(s, _call_edges(spark, sf_dir), s).select("of", "id")
 
 
-@of(f"WITH {_sql_calls()} SELECT src AS of, dst AS id FROM c WHERE src <= 20")
+@of(f"WITH {_sql_calls()} SELECT src AS of, dst AS id FROM c")
 def callees(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _symbols(spark, sf_dir).select("id", "name")
     return query.callees(s, _call_edges(spark, sf_dir), s).select("of", "id")
 
 
 def _sql_reach(a: str, b: str) -> str:
-    return f"WITH RECURSIVE {_sql_calls()}, r AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS hops FROM part WHERE p_partkey <= 10 UNION SELECT r.seed, c.{b}, r.hops + 1 FROM r JOIN c ON r.node = c.{a} WHERE r.hops < 3) SELECT seed, node, CAST(min(hops) AS INT) AS hops FROM r GROUP BY ALL HAVING node <> seed"
+    return f"WITH RECURSIVE {_sql_calls()}, r AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS hops FROM part UNION SELECT r.seed, c.{b}, r.hops + 1 FROM r JOIN c ON r.node = c.{a} WHERE r.hops < 3) SELECT seed, node, CAST(min(hops) AS INT) AS hops FROM r GROUP BY ALL HAVING node <> seed"
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,17 +251,17 @@ def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.impact(_calls(spark, sf_dir).select("src", "dst"), _seeds(spark, sf_dir))
 
 
-@of(f"WITH RECURSIVE {_sql_calls(2)}, e AS (SELECT src AS a, dst AS b FROM c UNION SELECT dst, src FROM c), r AS (SELECT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a) SELECT node, min(other) AS label FROM r GROUP BY node")
+@of(f"WITH RECURSIVE {_sql_calls()}, e AS (SELECT src AS a, dst AS b FROM c UNION SELECT dst, src FROM c), r AS (SELECT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a) SELECT node, min(other) AS label FROM r GROUP BY node")
 def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.weak_components(_calls(spark, sf_dir).select("src", "dst"))
 
 
-@of(f"WITH RECURSIVE {_sql_calls(2)}, r AS (SELECT src AS a, dst AS b FROM c UNION SELECT r.a, c.dst FROM r JOIN c ON r.b = c.src), m AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a), g AS (SELECT a AS node, min(b) AS label FROM m GROUP BY a), t AS (SELECT least(node, label) AS label, node FROM g) SELECT node, label FROM t WHERE label IN (SELECT label FROM t GROUP BY label HAVING count(*) > 1)")
+@of(f"WITH RECURSIVE {_sql_calls()}, r AS (SELECT src AS a, dst AS b FROM c UNION SELECT r.a, c.dst FROM r JOIN c ON r.b = c.src), m AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a), g AS (SELECT a AS node, min(b) AS label FROM m GROUP BY a), t AS (SELECT least(node, label) AS label, node FROM g) SELECT node, label FROM t WHERE label IN (SELECT label FROM t GROUP BY label HAVING count(*) > 1)")
 def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.strong_components(_calls(spark, sf_dir).select("src", "dst"))
 
 
-@of(f"WITH RECURSIVE {_sql_calls(2)}, d AS (SELECT src, dst FROM c WHERE src < dst), r AS (SELECT dst AS node, 0 AS tier FROM d UNION SELECT d.src, r.tier + 1 FROM r JOIN d ON r.node = d.dst) SELECT node, CAST(max(tier) AS INT) AS tier FROM r GROUP BY node")
+@of(f"WITH RECURSIVE {_sql_calls()}, d AS (SELECT src, dst FROM c WHERE src < dst), r AS (SELECT dst AS node, 0 AS tier FROM d UNION SELECT d.src, r.tier + 1 FROM r JOIN d ON r.node = d.dst) SELECT node, CAST(max(tier) AS INT) AS tier FROM r GROUP BY node")
 def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.tiers(_calls(spark, sf_dir).filter("src < dst").select("src", "dst"))
 
@@ -447,10 +447,11 @@ def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.conflicts(_evidence(spark, sf_dir))
 
 
-@of("WITH q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id < 5), s AS (SELECT query, vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[])))), 6) AS score FROM embeddings, q) SELECT query, id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10")
+@of("WITH q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query, vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[])))), 6) AS score FROM embeddings, q) SELECT query, id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10")
 def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return temporal.semantic_search_all(e, e.select(F.col("id").alias("query"), F.col("v").alias("q")), 10)
+    asked = e.filter("id % 100 = 0").select(F.col("id").alias("query"), F.col("v").alias("q"))
+    return temporal.semantic_search(e, asked, 10)
 
 
 @of("SELECT sha256(text) AS content_hash, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY ALL")
