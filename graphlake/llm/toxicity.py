@@ -1,12 +1,13 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. They share their entropy tables and a stretch of common text; before it stand the byte strings by which their class differs, chosen by the share of documents that hold them. A window that speaks like a class is shorter under that class's dictionary. Whole texts are cut into overlapping windows, and a logistic curve over the windows' differences, fitted on labelled documents that the dictionaries have not seen, turns them into a score with its threshold at 0.5.
+Two zstandard dictionaries are trained: one on windows of ordinary text, one on what toxic text has and ordinary text lacks, its words that are many times likelier there. The ordinary model is the first dictionary, the toxic model both, the toxic part in front; where it stands the ordinary model has blanks, so all else lies equally far from a window. Each window of a text is compressed under both, and the bytes that the toxic model saves, over the whole text, go through a logistic curve whose threshold of 0.5 is calibrated by cross-fitting: each labelled document is measured with dictionaries that have not seen it.
 """
 
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,55 +16,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GRAM = 6  # bytes of the strings that tell the classes apart, and the shortest match
-WINDOW, STEP = 256, 192
+WINDOW, STEP = 256, 128
 MARGIN = 3  # bytes by which a window counts as toxic
+MOST = 12.0  # bytes that one window's saving counts for, at most
 SAMPLE = 1500  # labelled documents of each class that a model is fitted on, at most
 SAMPLE_CHARS = 20_000  # of a document in that sample, at most; longer ones are left out of it
-FRONT = 4096  # bytes of the strings of a class
-LIFT, SHARE = 2.5, 0.04  # of a string: log ratio of the classes' shares of documents that hold it, and its share in its own class, at least
+DICTIONARY = 4096  # bytes of each trained dictionary, about
+SEGMENT, KEYS = 50, 8  # of the trainer: bytes of the segments it picks and of the strings it counts
+LIFT, SHARE = 8.0, 0.04  # of a word of toxic text: how many times likelier than in ordinary text, and its share of toxic documents, at least
+FOLDS = 3
 
 
 def _windows(data: bytes) -> list[bytes]:
     return [data[i : i + WINDOW] for i in range(0, max(1, len(data) - WINDOW + STEP), STEP)]
 
 
-def _grams(data: bytes) -> np.ndarray:
-    a = np.frombuffer(data, np.uint8).astype(np.uint64)
-    n = len(a) - GRAM + 1
-    out = np.zeros(max(0, n), np.uint64)
-    for i in range(GRAM if n > 0 else 0):
-        out = out << np.uint64(8) | a[i : i + n]
-    return out
-
-
-def _document_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    found = [np.unique(_grams(t)) for t in texts]
-    return np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-
-
-def _lift(own: tuple[np.ndarray, np.ndarray], n: int, other: tuple[np.ndarray, np.ndarray], m: int) -> np.ndarray:
-    """Log ratio of the shares of documents that hold each gram of own."""
-    grams, counts = own
-    if not len(other[0]):
-        return np.log((counts + 0.5) / (n + 1)) - np.log(0.5 / (m + 1))
-    at = np.minimum(np.searchsorted(other[0], grams), len(other[0]) - 1)
-    there = np.where(other[0][at] == grams, other[1][at], 0)
-    return np.log((counts + 0.5) / (n + 1)) - np.log((there + 0.5) / (m + 1))
-
-
-def _telling(own: tuple[np.ndarray, np.ndarray], n: int, other: tuple[np.ndarray, np.ndarray], m: int) -> bytes:
-    """The strings that tell a class from the other, the most telling first."""
-    grams, counts = own
-    lift = _lift(own, n, other, m)
-    good = np.flatnonzero((lift > LIFT) & (counts >= max(3, SHARE * n)))
-    out = b""
-    for i in good[np.argsort(-(counts * lift)[good], kind="stable")]:
-        if (s := int(grams[i]).to_bytes(8, "big")[8 - GRAM :]) not in out:
-            out += s
-        if len(out) >= FRONT:
-            break
-    return out
+def _told(own: list[bytes], other: list[bytes]) -> list[bytes]:
+    """The documents of ``own`` reduced to the words by which they differ from ``other``, those without any left out."""
+    mine, theirs = Counter(), Counter()
+    for counts, texts in ((mine, own), (theirs, other)):
+        for t in texts:
+            counts.update(set(t.split()))
+    least = max(3, SHARE * len(own))
+    keep = {w for w, n in mine.items() if n >= least and n / len(own) > LIFT * (theirs[w] + 0.5) / (len(other) + 1)}
+    return [b" " + b" ".join(words) + b" " for t in own if (words := [w for w in t.split() if w in keep])]
+
+
+def _dictionary(samples: list[bytes], segment: int) -> bytes:
+    """A trained dictionary; of too few samples for the trainer, these themselves."""
+    try:
+        return zstd.train_dictionary(DICTIONARY, samples, k=segment, d=KEYS).as_bytes()
+    except (zstd.ZstdError, ValueError):
+        return b"".join(samples)[:DICTIONARY]
+
+
+def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """(toxic, ordinary): both models' dictionaries, of equal length."""
+    common = _dictionary([w for t in ordinary for w in _windows(t)], WINDOW)
+    front = _dictionary([w for t in _told(toxic, ordinary) for w in _windows(t)], SEGMENT)
+    return (front + common).ljust(8), (b" " * len(front) + common).ljust(8)
 
 
 @dataclasses.dataclass(frozen=True)
@@ -74,26 +65,26 @@ class Model:
     ordinary: bytes
     weights: tuple[float, ...]
 
-    def scorer(self):  # noqa: ANN201
+    def scorer(self) -> Callable[[str | None], float]:
         """text -> score, from 0 to 1."""
         if not self.toxic:
             constant = float(self.weights[-1])
             return lambda text: constant
-        sizes, weights = _sizes(self.toxic, self.ordinary), np.array(self.weights)
-        return lambda text: float(1 / (1 + np.exp(-np.clip(_features(sizes, text) @ weights, -30, 30))))
+        saved, weights = _savings(self.toxic, self.ordinary), np.array(self.weights)
+        return lambda text: float(1 / (1 + np.exp(-np.clip(_features(saved((text or "").encode("utf-8", "surrogatepass"))) @ weights, -30, 30))))
 
 
-def _sizes(toxic: bytes, ordinary: bytes):  # noqa: ANN202
+def _savings(toxic: bytes, ordinary: bytes) -> Callable[[bytes], np.ndarray]:
     """data -> by how many bytes each of its windows is shorter under the toxic dictionary."""
-    kind = zstd.DICT_TYPE_FULLDICT if toxic[:4] == b"\x37\xa4\x30\xec" else zstd.DICT_TYPE_RAWCONTENT
-    settings = zstd.ZstdCompressionParameters.from_level(9, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS, window_log=15, hash_log=13, chain_log=13, min_match=GRAM)
-    a, b = (zstd.ZstdCompressor(compression_params=settings, dict_data=zstd.ZstdCompressionDict(d, dict_type=kind)).compress for d in (ordinary, toxic))
+    settings = zstd.ZstdCompressionParameters.from_level(9, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS, window_log=15, hash_log=13, chain_log=13, min_match=6)
+    # As raw content: each dictionary's own entropy tables would add differences that have nothing to do with what a window says.
+    a, b = (zstd.ZstdCompressor(compression_params=settings, dict_data=zstd.ZstdCompressionDict(d, dict_type=zstd.DICT_TYPE_RAWCONTENT)).compress for d in (ordinary, toxic))
     return lambda data: np.array([len(a(w)) - len(b(w)) for w in _windows(data)], np.float64)
 
 
-def _features(sizes, text: str | None) -> np.ndarray:  # noqa: ANN001
-    d = sizes((text or "").encode("utf-8", "surrogatepass"))
-    return np.array([d.mean(), min(d.max(), 12.0), min(np.sort(d)[-3:].mean(), 12.0), (d >= MARGIN).mean(), 1.0])
+def _features(d: np.ndarray) -> np.ndarray:
+    """Of a text's savings: mean, greatest, mean of the three greatest, share of windows over the margin."""
+    return np.array([d.mean(), min(d.max(), MOST), min(np.sort(d)[-3:].mean(), MOST), (d >= MARGIN).mean(), 1.0])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -109,36 +100,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def train(toxic: list[str], ordinary: list[str], prior: float = 0.1) -> Model:
-    """A model from labelled texts; ``prior``: the share of toxic documents to calibrate for. Without texts of both classes every score is the prior."""
+    """A model from labelled texts; ``prior``: the share of toxic documents to calibrate for. Without four texts of each class every score is the prior."""
     if len(toxic) < 4 or len(ordinary) < 4:
         return Model(b"", b"", (min(max(prior, 0.0), 1.0),))
     t, o = ([x.encode("utf-8", "surrogatepass") for x in part] for part in (toxic, ordinary))
-    seen_t, seen_o = t[::2], o[::2]
-    ct, co = _document_counts(seen_t), _document_counts(seen_o)
-    front, other = _telling(ct, len(seen_t), co, len(seen_o)), _telling(co, len(seen_o), ct, len(seen_t))
-    size = max(len(front), len(other))  # of equal length, so that what follows lies equally far from a window
-    front, other = front.ljust(size, b" "), other.ljust(size, b" ")
-    windows = [w for x in seen_o[:400] + seen_t[:130] for w in _windows(x)][:20_000]
-    common = b"".join(w[:64] for x in seen_o[:240] for w in _windows(x)[1:2] or _windows(x))[:3840]
-    head = b""
-    try:
-        trained = zstd.train_dictionary(8192, windows).as_bytes()
-        mark = trained.find(b"\x01\0\0\0\x04\0\0\0\x08\0\0\0")  # the first offsets, the last thing before the content
-        head = trained[: mark + 12] if mark > 0 else b""
-    except zstd.ZstdError:  # too little text for entropy tables
-        pass
-    toxic_dict, ordinary_dict = head + front + common, head + other + common
-    if len(front + common) < 16:
-        return Model(b"", b"", (min(max(prior, 0.0), 1.0),))
-    sizes = _sizes(toxic_dict, ordinary_dict)
-    x = np.stack([_features(sizes, part.decode("utf-8", "surrogatepass")) for part in t[1::2] + o[1::2]])
-    y = np.r_[np.ones(len(t[1::2])), np.zeros(len(o[1::2]))]
-    w = np.where(y == 1, prior / max(1, y.sum()), (1 - prior) / max(1, (1 - y).sum())) * len(y)
-    return Model(toxic_dict, ordinary_dict, tuple(map(float, _logistic(x, y, w))))
+    x, y = [], []
+    for k in range(FOLDS):
+        rest = [[d for i, d in enumerate(part) if i % FOLDS != k] for part in (t, o)]
+        saved = _savings(*_dictionaries(*rest))
+        for label, part in ((1, t), (0, o)):
+            x += [_features(saved(d)) for d in part[k::FOLDS]]
+            y += [label] * len(part[k::FOLDS])
+    x, y = np.stack(x), np.array(y, np.float64)
+    w = np.where(y == 1, prior / y.sum(), (1 - prior) / (1 - y).sum()) * len(y)
+    return Model(*_dictionaries(t, o), tuple(map(float, _logistic(x, y, w))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, max_chars: int = SAMPLE_CHARS) -> Model:
-    """A model from at most ``sample`` labelled documents of each class, taken by a hash of their id; of two labels of one id the greater counts. Classes are weighed by their share of all labels."""
+    """A model from at most ``sample`` labelled documents of each class of at most ``max_chars`` code points, taken by a hash of their id.
+
+    Of two labels of one id the greater counts, of two texts of one id the lesser; null ids and null labels are left out, null texts are empty, longer texts are not learned from (they are scored whole). Classes are weighed by their share of all labels. Without labels or documents of both classes every score is the share of toxic labels.
+    """
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
     shares = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     total = sum(shares.values())
@@ -147,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for y in (1, 0):
         # Twice as many ids as wanted, as some have no document or a long one; their number is bounded, so they may be broadcast.
         ids = marks.filter(F.col("y") == y).select("id").orderBy(F.xxhash64("id"), "id").limit(2 * sample)
-        own = texts.join(F.broadcast(ids), "id").dropDuplicates(["id"])
+        own = texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"))
         rows = own.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample).select("text")
         out[y] = [x.as_py() for x in rows.toArrow().column(0)]
     return train(out[1], out[0], shares.get(1, 0) / total if total else 0.0)

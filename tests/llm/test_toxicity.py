@@ -1,7 +1,9 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
+import zstandard as zstd
 
 from graphlake.llm import toxicity
 
@@ -55,3 +57,44 @@ def test_fit_and_score_documents(spark):
     assert toxicity.fit(docs.limit(0), labels).toxic == b""
     folds = docs.filter("doc_id is not null").select("doc_id", toxicity.fold().alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.doc_id).encode()) % 5 for r in folds)
+
+
+def test_scores_match_plain_version(model):
+    """Windows by hand, a fresh compressor for each, the curve by math."""
+    import math
+
+    rng = random.Random(10)
+
+    def size(window, dictionary):
+        settings = zstd.ZstdCompressionParameters.from_level(9, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS, window_log=15, hash_log=13, chain_log=13, min_match=6)
+        return len(zstd.ZstdCompressor(compression_params=settings, dict_data=zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_RAWCONTENT)).compress(window))
+
+    score = model.scorer()
+    for t in [None, "", "é" * 200, text(rng, True), text(rng, False), text(rng, True, 900), text(rng, False, 4000)]:
+        data, saved, at = (t or "").encode(), [], 0
+        while True:
+            saved.append(size(data[at : at + 256], model.ordinary) - size(data[at : at + 256], model.toxic))
+            at += 128
+            if at >= len(data) - 128:
+                break
+        best = sorted(saved)[-3:]
+        x = [sum(saved) / len(saved), min(max(saved), 12), min(sum(best) / len(best), 12), sum(d >= 3 for d in saved) / len(saved), 1]
+        z = sum(a * b for a, b in zip(x, model.weights))
+        assert score(t) == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
+
+
+def test_both_dictionaries_are_trained():
+    rng = random.Random(11)
+    toxic, ordinary = [text(rng, True).encode() for _ in range(120)], [text(rng, False).encode() for _ in range(300)]
+    t, o = toxicity._dictionaries(toxic, ordinary)
+    assert len(t) == len(o) and all(b.encode() in t and b.encode() not in o for b in BAD)
+    words = {w for d in ordinary for w in d.split()}
+    assert sum(w in words for w in o.split()) > 100
+
+
+def test_long_texts_are_scored_whole_and_not_learned_from(spark):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, text(rng, i % 2 == 0)) for i in range(40)] + [(50, text(rng, False, 30_000) + " " + " ".join(BAD))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)] + [(50, 0)], "doc_id long, toxic int")
+    one, two = (toxicity.fit(d, labels) for d in (docs, docs.filter("doc_id < 50")))
+    assert one.toxic == two.toxic and np.allclose(one.weights, two.weights)
