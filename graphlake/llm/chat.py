@@ -5,9 +5,11 @@ Of a chosen and a rejected conversation the longest common prefix of turns is re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlake.llm.common import stage
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -56,26 +58,42 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     return pair.select("pair_id", F.col("n").cast("long").alias("n_common"), _text(F.col("common")).alias("prompt"), _text(a).alias("chosen"), _text(b).alias("rejected"), _mask(a).alias("chosen_mask"), _mask(b).alias("rejected_mask"))
 
 
+def following(ids: DataFrame) -> DataFrame:
+    """``ids`` (id, distinct, not null) -> (id, next): the next greater id, for the greatest the least.
+
+    Ids are dealt by range and written; each range finds its own successors and gets the first id of the next range that has rows, a row a range.
+    """
+    spark = ids.sparkSession
+    dealt = stage(ids.repartitionByRange("id").withColumn("range", F.spark_partition_id()), "id-ranges")
+    firsts = sorted((r["range"], r["first"]) for r in dealt.groupBy("range").agg(F.min("id").alias("first")).collect())
+    after = [(firsts[k][0], firsts[(k + 1) % len(firsts)][1]) for k in range(len(firsts))]
+    bounds = spark.createDataFrame(after, f"range int, after {ids.schema['id'].dataType.simpleString()}")
+    within = dealt.withColumn("within", F.lead("id").over(Window.partitionBy("range").orderBy("id")))
+    return within.join(F.broadcast(bounds), "range").select("id", F.coalesce("within", "after").alias("next"))
+
+
 def swapped_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Preference data out of plain chats (conv_id, turn, role, text): chosen is each chat up to its last reply, rejected the same with the last reply of its neighbour (2k and 2k + 1 are neighbours) in that place. Chats without a reply, and those whose neighbour has none, make no pair."""
+    """Preference data out of plain chats (conv_id, turn, role, text): chosen is each chat with a reply, rejected the same with its last reply replaced by the last reply of the next such chat, in the order of ids; after the last comes the first.
+
+    All turns stay, those after the last reply too, so every chat with a reply makes a pair; a lone one is paired with itself. Chats without an assistant's turn, or only with ones that have no turn number, make none, nor do rows without a conv_id. Of several replies at the last turn the greatest text is the one that others get, and all of them are replaced; a null text is empty. Repeated rows stay repeated; other columns are ignored; no rows give none.
+    """
     replies = conversations.filter("role = 'assistant' and conv_id is not null and turn is not null")
-    last = replies.groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("m")).select("conv_id", "m.turn", "m.text")
-    other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.col("text").alias("other"))
-    ends = last.select("conv_id", F.col("turn").alias("last")).join(other, "conv_id")
-    turns = conversations.select("conv_id", "turn", "role", "text").join(ends, "conv_id").filter("turn is null or turn <= last")
-    chosen = turns.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    last = replies.groupBy(F.col("conv_id").alias("id")).agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("m")).select("id", "m.turn", "m.text")
+    other = following(last.select("id")).join(last.select(F.col("id").alias("next"), F.col("text").alias("other")), "next").select("id", "other")
+    ends = last.select("id", F.col("turn").alias("last")).join(other, "id").withColumnRenamed("id", "pair_id")
+    turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text").join(ends, "pair_id")
     replaced = F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.col("other")).otherwise(F.col("text"))
-    return chosen, turns.select(F.col("conv_id").alias("pair_id"), "turn", "role", replaced.alias("text"))
+    return turns.select("pair_id", "turn", "role", "text"), turns.select("pair_id", "turn", "role", replaced.alias("text"))
 
 
 ORACLE = r"""
 WITH c AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
 l AS (SELECT conv_id, max(turn) AS last FROM c WHERE role = 'assistant' GROUP BY conv_id),
 w AS (SELECT l.conv_id, l.last, max(coalesce(c.text, '')) AS reply FROM l JOIN c ON c.conv_id = l.conv_id AND c.turn = l.last AND c.role = 'assistant' GROUP BY ALL),
-e AS (SELECT w.conv_id, w.last, o.reply AS other FROM w JOIN w o ON o.conv_id = xor(w.conv_id, 1)),
+e AS (SELECT conv_id, last, coalesce(lead(reply) OVER (ORDER BY conv_id), first_value(reply) OVER (ORDER BY conv_id)) AS other FROM w),
 t AS (SELECT c.conv_id, c.turn, replace(coalesce(role, ''), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS a,
              replace(coalesce(CASE WHEN turn = last AND role = 'assistant' THEN other ELSE text END, ''), '<|', '< |') AS b
-      FROM c JOIN e ON c.conv_id = e.conv_id WHERE turn IS NULL OR turn <= last),
+      FROM c JOIN e ON c.conv_id = e.conv_id),
 s AS (SELECT conv_id, 'a' AS side, turn, role, a AS text FROM t UNION ALL SELECT conv_id, 'b', turn, role, b FROM t),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn NULLS FIRST, role, text) AS i FROM s),
 k AS (SELECT x.conv_id, coalesce(min(CASE WHEN x.role <> y.role OR x.text <> y.text THEN x.i END) - 1, count(*)) AS n_common FROM n x JOIN n y ON x.conv_id = y.conv_id AND x.i = y.i AND x.side = 'a' AND y.side = 'b' GROUP BY x.conv_id),

@@ -50,6 +50,26 @@ def test_swapped_replies(spark):
     rows = [(0, 0, "user", "q0"), (0, 1, "assistant", "r0"), (0, 2, "user", "tail"), (1, 0, "user", "q1"), (1, 1, "assistant", "r1"), (2, 0, "user", "q2"), (2, 1, "assistant", "r2"), (3, 0, "user", "no reply"), (4, 1, "assistant", "no neighbour"), (None, 0, "assistant", "?")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     chosen, rejected = chat.swapped_replies(df)
-    assert sorted(map(tuple, chosen.collect())) == [(0, 0, "user", "q0"), (0, 1, "assistant", "r0"), (1, 0, "user", "q1"), (1, 1, "assistant", "r1")]
-    assert sorted(map(tuple, rejected.collect())) == [(0, 0, "user", "q0"), (0, 1, "assistant", "r1"), (1, 0, "user", "q1"), (1, 1, "assistant", "r0")]
-    assert {r.n_common for r in chat.preference_pairs(chosen, rejected).collect()} == {1}
+    turns = {(0, 0, "user", "q0"), (0, 2, "user", "tail"), (1, 0, "user", "q1"), (2, 0, "user", "q2")}
+    assert set(map(tuple, chosen.collect())) == turns | {(0, 1, "assistant", "r0"), (1, 1, "assistant", "r1"), (2, 1, "assistant", "r2"), (4, 1, "assistant", "no neighbour")}
+    assert set(map(tuple, rejected.collect())) == turns | {(0, 1, "assistant", "r1"), (1, 1, "assistant", "r2"), (2, 1, "assistant", "no neighbour"), (4, 1, "assistant", "r0")}
+    got = {r.pair_id: (r.n_common, r.chosen.count("tail"), r.rejected.count("tail")) for r in chat.preference_pairs(chosen, rejected).collect()}
+    assert got == {0: (1, 1, 1), 1: (1, 0, 0), 2: (1, 0, 0), 4: (0, 0, 0)}
+    assert chat.swapped_replies(df.limit(0))[0].count() == 0
+
+
+def test_replies_of_ties_repeats_and_clashing_columns(spark):
+    rows = [(7, 1, "assistant", "b"), (7, 1, "assistant", "a"), (7, 1, "assistant", "a"), (9, 3, "assistant", None), (9, None, "assistant", "no turn")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, other string, id int")
+    chosen, rejected = chat.swapped_replies(df)
+    assert sorted(map(str, (tuple(r) for r in chosen.collect()))) == sorted(str(r) for r in rows)
+    assert sorted(map(str, (tuple(r) for r in rejected.collect()))) == sorted(map(str, [(7, 1, "assistant", "")] * 3 + [(9, 3, "assistant", "b"), (9, None, "assistant", "no turn")]))
+    one = chat.preference_pairs(*chat.swapped_replies(df.filter("conv_id = 7"))).collect()
+    assert [(r.pair_id, r.n_common) for r in one] == [(7, 0)]
+
+
+def test_following_wraps_over_ranges(spark):
+    ids = [3, -5, 17, 2, 900, 41, 40, 8] + list(range(1000, 3000, 7))
+    got = {r.id: r.next for r in chat.following(spark.createDataFrame([(i,) for i in ids], "id long").repartition(5)).collect()}
+    order = sorted(ids)
+    assert got == dict(zip(order, order[1:] + order[:1]))
