@@ -1,6 +1,6 @@
 """Best-fit packing with a swap-based local search.
 
-Documents are cut into pieces of at most the sequence length, pieces are dealt by hash to shards of bounded size, and each shard is packed by itself: best fit, longest first, then a local search between underfull bins that moves a piece, swaps one for one or two for one, each time raising the sum of squared fills, until the emptiest bins are gone. Only (id, piece, length) rows move between machines.
+Documents are cut into pieces of at most the sequence length, pieces are dealt by hash to shards of bounded size, and each shard is packed by itself: best fit, longest first, then a local search between underfull bins that moves a piece, swaps one for one or two for one, each time raising the sum of squared fills, until bins empty and no exchange gains or the shard's lower bound is met. Only (id, piece, length) rows move between machines.
 """
 
 from __future__ import annotations
@@ -73,63 +73,59 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 class _Search:
-    """Local search between the underfull bins of one shard."""
+    """Local search between the underfull bins of one shard: bins give pieces to others, or trade one or two of theirs for one of the others', as long as the sum of squared fills grows."""
 
     def __init__(self, lengths: list[int], bins: list[list[int]], capacity: int) -> None:
         self.n, self.bins, self.capacity = lengths, bins, capacity
-        self.fill = [sum(lengths[i] for i in b) for b in bins]
-
-    def _shift(self, u: int, out: tuple[int, ...], v: int, back: int | None) -> None:
-        moved = sum(self.n[i] for i in out) - (self.n[back] if back is not None else 0)
+        self.fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+
+    def _table(self) -> None:
+        """Of the underfull bins each distinct length and, as length 0, the empty place: bin, length, piece."""
+        rows = [(b, m, i) for b in np.flatnonzero((self.fill > 0) & (self.fill < self.capacity)).tolist() for m, i in sorted({0: -1, **{self.n[i]: i for i in self.bins[b]}}.items())]
+        self.at, self.length, self.piece = np.array(rows, np.int64).reshape(-1, 3).T
+
+    def _best(self, u: int) -> tuple[int, tuple[int, ...], int, int] | None:
+        """The exchange of u with any other underfull bin that raises the squares most: (bin, what leaves u, what comes back, tokens moved). Nothing, if none does."""
+        mine: dict[int, tuple[int, ...]] = {}
+        own = sorted((self.n[i], i) for i in self.bins[u])
+        for k, (a, i) in enumerate(own):
+            if k + 1 == len(own) or own[k + 1][0] != a:  # of each length one piece; two of it as well, if there are
+                for b, j in own[:k]:
+                    mine.setdefault(a + b, (i, j))
+        mine |= {a: (i,) for a, i in own}
+        sums = np.array(sorted(mine), np.int64)
+        room = np.where(self.at == u, -1, self.capacity - self.fill[self.at])
+        pick = np.searchsorted(sums, room + self.length, "right") - 1  # the largest that fits in the place of that piece
+        moved = np.where((room >= 0) & (pick >= 0), sums[np.maximum(pick, 0)] - self.length, 0)
+        gain = np.where(moved > 0, moved * (self.fill[self.at] - self.fill[u] + moved), 0)
+        best = int(np.argmax(gain)) if gain.size else 0
+        if not gain.size or gain[best] <= 0:
+            return None
+        return int(self.at[best]), mine[int(sums[pick[best]])], int(self.piece[best]), int(moved[best])
+
+    def _shift(self, u: int, v: int, out: tuple[int, ...], back: int, moved: int) -> None:
         for i in out:
             self.bins[u].remove(i)
             self.bins[v].append(i)
-        if back is not None:
+        if back >= 0:
             self.bins[v].remove(back)
             self.bins[u].append(back)
         self.fill[u] -= moved
         self.fill[v] += moved
 
-    def _best(self, u: int, v: int) -> tuple[int, tuple[int, ...], int | None]:
-        """The exchange that moves most from u into v's room: (gain, what leaves u, what comes back)."""
-        n, room = self.n, self.capacity - self.fill[v]
-        best: tuple[int, tuple[int, ...], int | None] = (0, (), None)
-        mine, theirs = self.bins[u], sorted({n[j]: j for j in self.bins[v]}.items())
-        singles = [(n[i], (i,)) for i in mine]
-        doubles = [(n[i] + n[j], (i, j)) for k, i in enumerate(mine) for j in mine[:k]] if len(mine) <= 64 else []
-        for size, out in singles:
-            if best[0] < size <= room:
-                best = (size, out, None)
-        for size, out in singles + doubles:
-            for m, j in theirs:
-                if best[0] < size - m <= room:
-                    best = (size - m, out, j)
-            if best[0] == room:
-                break
-        return best
-
-    def run(self, rounds: int = 4) -> list[list[int]]:
-        least = -(-sum(self.fill) // self.capacity)
-        for _ in range(rounds):
+    def run(self) -> list[list[int]]:
+        """Until as few bins are left as their sum needs or no exchange gains: each raises the squares, so it ends. The emptiest give first."""
+        least = -(-int(self.fill.sum()) // self.capacity)
+        gained = True
+        while gained and int((self.fill > 0).sum()) > least:
             gained = False
-            if sum(map(bool, self.bins)) <= least:
-                break
-            order = sorted((f, b) for b, f in enumerate(self.fill) if 0 < f < self.capacity)
-            for _, u in order[: max(8, len(order) // 8)]:  # the emptiest give; the fuller they make others the sooner they are gone
-                room = self.capacity * len(order) - sum(self.fill[b] for _, b in order)
-                if room < self.capacity:
-                    break
-                for v in sorted((b for _, b in order if b != u and self.fill[b] < self.capacity), key=lambda b: (-self.fill[b], b)):
-                    while self.fill[u] and self.fill[u] <= self.fill[v] < self.capacity:
-                        gain, out, back = self._best(u, v)
-                        if not gain:
-                            break
-                        self._shift(u, out, v, back)
-                        gained = True
-                    if not self.fill[u]:
-                        break
-            if not gained:
-                break
+            self._table()
+            for u in sorted(np.flatnonzero((self.fill > 0) & (self.fill < self.capacity)).tolist(), key=lambda b: (self.fill[b], b)):
+                while 0 < self.fill[u] < self.capacity and (found := self._best(u)):
+                    v, out, back, moved = found
+                    self._shift(u, v, out, back, moved)
+                    self._table()
+                    gained = True
         return [b for b in self.bins if b]
 
 

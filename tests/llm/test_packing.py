@@ -55,6 +55,56 @@ def test_search_beats_best_fit():
     assert len(packing.pack_lengths(lengths)) < len(packing.best_fit(lengths, 2048))
 
 
+def fewest(lengths, capacity):
+    """The least number of bins, by trying every way."""
+    best = [len(lengths)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for r in sorted({r for r in rooms if r >= lengths[i]}):
+            k = rooms.index(r)
+            place(i + 1, rooms[:k] + [r - lengths[i]] + rooms[k + 1 :])
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    lengths = sorted(lengths, reverse=True)
+    place(0, [])
+    return best[0]
+
+
+def test_search_reaches_the_optimum_where_best_fit_does_not():
+    rng, behind, reached = random.Random(21), 0, 0
+    for _ in range(400):
+        lengths = [rng.randint(4, 14) for _ in range(rng.choice([8, 9, 10]))]
+        first, got, least = len(packing.best_fit(lengths, 24)), len(packing.pack_lengths(lengths, 24)), fewest(lengths, 24)
+        assert least <= got <= first
+        if first > least:
+            behind += 1
+            reached += got == least
+    assert behind >= 5 and reached >= 0.7 * behind, (behind, reached)
+
+
+def test_every_exchange_raises_the_squares_and_all_kinds_occur():
+    rng, kinds = random.Random(22), set()
+
+    class Watched(packing._Search):
+        def _shift(self, u, v, out, back, moved):
+            before = int((self.fill**2).sum())
+            super()._shift(u, v, out, back, moved)
+            assert int((self.fill**2).sum()) > before and self.fill.max() <= self.capacity
+            kinds.add((len(out), back >= 0))
+
+    for lo, hi, n in ((200, 900, 400), (300, 1300, 300), (20, 60, 900)):
+        lengths = [rng.randint(lo, hi) for _ in range(n)]
+        bins = [[i] for i in range(n)] if hi == 60 else packing.best_fit(lengths, 2048)
+        got = Watched(lengths, bins, 2048).run()
+        assert sorted(i for b in got for i in b) == list(range(n)) and all(sum(lengths[i] for i in b) <= 2048 for b in got)
+    assert {(1, False), (1, True), (2, True)} <= kinds
+
+
 def test_packed_is_whole_and_gapless(spark, tokenizer):
     rows = [(i, t, 5, "x") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], 5, "x"), (None, "no id", 5, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length long, shard string")
