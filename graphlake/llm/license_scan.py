@@ -1,12 +1,10 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them. DataFrame functions only.
 
-A text's word shingles are hashed; windows of ``SPAN`` shingles start every ``STRIDE``. A band is the least of a window's hashes after an exclusive or with the band's constant, one row a band, so windows of similarity J meet in a band with probability J; bands are not independent, as the high bits decide in all of them, so a shingle can be missed by every band. Templates are windowed at every start. What bands miss, leads meet: a text that holds m of a template's n distinct shingles holds one of any n - m + 1 of them, so that many, with the least m that the similarity allows, are looked up as they are and no template is missed. Every template that met a document is then compared with all of its shingles exactly.
+A text's word shingles are hashed; windows of ``SPAN`` shingles start every ``STRIDE``, so each inner shingle stands in two. A band is the least of a window's hashes after each was hashed anew with the band's number, one row a band, so bands are independent and windows of similarity J meet in one of them with probability 1 - (1 - J)^BANDS: over 0.998 for a lone shingle in one window, over 0.99999 in two. Templates are windowed at every start. A window that has no shingle of any template can meet none in any band, so texts without such a shingle are put aside first. What bands miss, leads meet: a text that holds m of a template's n distinct shingles holds one of any n - m + 1 of them, so that many, with the least m that the similarity allows, are looked up as they are and no template is missed. Every template that met a document is then compared with all of its shingles exactly.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from graphlake.llm.common import few_rows, stage
 
 SHINGLE, SPAN, STRIDE, BANDS = 5, 8, 4, 48
 SIMILARITY = 0.8
+TEMPLATE_ROWS = 2000  # templates that are broadcast; of more, all joins are shuffled ones and every text is windowed
 SPLIT = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 
 #: Notices as they are commonly printed.
@@ -59,10 +58,8 @@ def banded(df: DataFrame, key: str, hashes: str, stride: int) -> DataFrame:
     starts = F.when(F.size(h) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size(h) - SPAN + stride - 1, F.lit(0)), F.lit(stride)))
     parts = [F.coalesce(F.get("__w", F.lit(k)), F.get("__w", F.lit(0))) for k in range(SPAN)]
     windows = df.select(key, F.explode(F.transform(starts, lambda i: F.array(*[F.get(h, i + k) for k in range(SPAN)]))).alias("__w")).select(key, *[p.alias(f"__h{k}") for k, p in enumerate(parts)])
-    constants = [int.from_bytes(hashlib.blake2b(b"band %d" % k, digest_size=8).digest(), "big", signed=True) for k in range(BANDS)]
-    bands = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.lit(c).cast("long").alias("c")) for k, c in enumerate(constants)]))
-    rows = windows.select("*", bands.alias("__b"))
-    return rows.select(key, F.col("__b.band").alias("band"), F.least(*[F.col(f"__h{k}").bitwiseXOR(F.col("__b.c")) for k in range(SPAN)]).alias("low"))
+    rows = windows.select("*", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    return rows.select(key, "band", F.least(*[F.xxhash64("band", f"__h{k}") for k in range(SPAN)]).alias("low"))
 
 
 def leads(known: DataFrame, similarity: float) -> DataFrame:
@@ -81,18 +78,29 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, license_id, n_shared, n_shingles, containment): each document's templates of which it holds ``similarity`` of the distinct shingles or more.
 
-    A null or empty text holds none and gives no row; repeated rows give repeated rows; ids may be null; other columns are ignored. Templates without words match nothing.
+    A null or empty text holds none and gives no row; repeated rows give repeated rows; ids may be null; other columns are ignored. Texts of any length are windowed whole. Templates without words match nothing; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    known = template_table(spark, templates or TEMPLATES).filter(F.size("tokens") > 0)
+    known = stage(template_table(spark, templates or TEMPLATES).filter(F.size("tokens") > 0), "templates")
+    small = few_rows(known, TEMPLATE_ROWS)
+    side = F.broadcast if small else (lambda df: df)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # From an array of one, the words are a generated column: no filter is pushed below it with the splitting inside its lambda.
+    hashed = lambda df, *cols: df.select(*cols, F.explode(F.array(words(F.col("text")))).alias("tokens")).select(*cols, shingle_hashes(F.col("tokens")).alias("h"))
+    every = known.select(F.explode(shingle_hashes(F.col("tokens"))).alias("low")).distinct()
+    if small:
+        shingles_of = F.array(*[F.lit(r.low) for r in every.collect()]).cast("array<bigint>")
+        likely = hashed(own, "id", "text").filter(F.arrays_overlap("h", shingles_of)).select("id", "text")
+    else:
+        likely = own
+    likely = stage(likely.withColumn("key", F.xxhash64("id", "text")), "license-texts")
+    rows = hashed(likely, "key")
     marks = banded(known.select("license_id", shingle_hashes(F.col("tokens")).alias("h")), "license_id", "h", 1).distinct()
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
-    hashed = own.select("key", words(F.col("text")).alias("tokens")).select("key", shingle_hashes(F.col("tokens")).alias("h"))
-    by_band = banded(hashed, "key", "h", STRIDE).join(F.broadcast(marks), ["band", "low"]).select("key", "license_id")
+    by_band = banded(rows, "key", "h", STRIDE).join(side(marks), ["band", "low"]).select("key", "license_id")
     # explode_outer: explode would add a filter on h below, with the words split inside its lambda.
-    by_lead = hashed.select("key", F.explode_outer("h").alias("low")).join(F.broadcast(leads(known, similarity)), "low").select("key", "license_id")
+    by_lead = rows.select("key", F.explode_outer("h").alias("low")).join(side(leads(known, similarity)), "low").select("key", "license_id")
     met = stage(by_band.unionByName(by_lead).distinct(), "license-candidates")
-    found = own.join(F.broadcast(met) if few_rows(met) else met, "key").join(F.broadcast(known.select("license_id", "license_shingles")), "license_id")
+    found = likely.join(F.broadcast(met) if few_rows(met) else met, "key").join(side(known.select("license_id", "license_shingles")), "license_id")
     # The words are a column of their own: inside the shingles' lambda they would be split anew for each shingle.
     found = found.select("id", "license_id", "license_shingles", words(F.col("text")).alias("tokens")).select("id", "license_id", "license_shingles", shingles(F.col("tokens")).alias("own"))
     # Exploded from an array of one, the count is out of the filter's reach, which else would be pushed below with the words inside the lambda.

@@ -43,7 +43,7 @@ def test_matches_brute_force(spark):
 
 
 def test_many_candidates_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(license_scan, "few_rows", lambda df: False)
+    monkeypatch.setattr(license_scan, "few_rows", lambda df, *limit: False)
     docs = spark.createDataFrame([(1, "Released under the MIT License.")] * 3, "doc_id long, text string")
     assert license_scan.scan(docs).count() == 3
 
