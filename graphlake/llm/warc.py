@@ -1,17 +1,17 @@
 """WARC archives of pages, and their merged capture index.
 
-Archives are written by Spark's text writer, records ended by the two line ends the format asks for, so any file system that Spark reaches will do and a lost executor's files are written again. Pages with equal payloads are archived once; the others revisit the first. Reading an archive back gives one index run per file, sorted by URL key, time and page. Runs are cut at common bounds and each range is merged by a loser tree over its slices of the runs, which gives the captures in one global order.
+Archives are written by Spark's text writer, records ended by the two line ends the format asks for, so any file system that Spark reaches will do and a lost executor's files are written again. Records of like size share files, so that a file is bounded in bytes too. Pages with equal payloads are archived once; the others revisit the first. Reading an archive back gives index runs of each file, sorted by URL key, time and page. Runs are cut at common bounds and each range is merged by a loser tree over its slices of the runs; with the number of captures before each range, that gives every capture its place in one global order.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +21,10 @@ from graphlake.llm.common import few_rows, stage, staged_path
 END = "\r\n\r\n"
 LEAST_BYTES = 100  # payloads below are archived each time
 FILE_RECORDS = 2000  # in an archive file, at most
+FILE_BYTES = 64 << 20  # in an archive file, about at most; a greater record has a file of its own
 EPOCH = datetime.datetime(2024, 1, 1)  # capture time of page 0 where none is given; each further page a second later
-RANGE_ROWS = 20_000  # captures of a merged range, about
-SAMPLE = 5_000  # index keys that bounds are taken from, about
+RANGE_ROWS = 50_000  # captures of a merged range, about
+SAMPLE = 10  # index keys for each range that bounds are taken from, about
 
 
 def url_key(url: str | None) -> str:
@@ -116,9 +117,19 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def write(pages: DataFrame, path: str | None = None, **options: object) -> str:
-    """Write the archives as files of at most FILE_RECORDS records under ``path`` (else in the shared folder); gives the path."""
+    """Write the archives under ``path`` (else in the shared folder), one folder for each class of record size; gives the path.
+
+    Classes end at FILE_BYTES / FILE_RECORDS bytes, 16 times that, 256 times that and so on, and a class's files hold as many records as keep to both limits.
+    """
     path = path or staged_path(pages.sparkSession, "warc")
-    records(pages, **options).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows, unit = records(pages, **options), FILE_BYTES // FILE_RECORDS
+    size = F.octet_length("record")
+    most = rows.agg(F.max(size)).first()[0] or 0
+    lower, upper = -1, unit
+    while lower < most:
+        part = rows.filter((size > lower) & (size <= upper)) if upper < most or lower >= 0 else rows
+        part.write.option("lineSep", END).option("maxRecordsPerFile", max(1, min(FILE_RECORDS, FILE_BYTES // upper))).text(f"{path}/upto={upper}")
+        lower, upper = upper, upper * 16
     return path
 
 
@@ -166,7 +177,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if isinstance(k, int) else pa.string()) for c, k in zip(zip(*rows, strict=True), ("", "", 0, 0, "", "", 0, "", "", 0, 0), strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter("length > 0").select("path", "content")
     return files.mapInArrow(run, ENTRY)
 
 
@@ -176,64 +187,67 @@ def _order(row: tuple) -> tuple:
 
 
 def merged(entries: DataFrame) -> DataFrame:
-    """All captures with range and place: ordered by these two they are in global order of URL key, date and page. ``entries`` must be staged.
+    """All captures with range and place, their number in the global order of URL key, date and page, from 0. ``entries`` must be staged.
 
-    Bounds between ranges are taken from about SAMPLE of the keys with date, page, file and offset, so one URL with many captures splits as well; ranges only differ in size by it.
+    Bounds between ranges are keys with date, page, file and offset, so one URL with many captures splits as well. They are taken from about SAMPLE keys a range, so a range stays near RANGE_ROWS however many there are; the driver holds those keys and a count for each range.
     """
     total = entries.count()
     ranges = max(1, -(-total // RANGE_ROWS))
     key = F.struct("url_key", "date", F.col("page_id").isNotNull().alias("has"), F.coalesce("page_id", F.lit(0)).alias("page"), "file", "offset")
     bounds: list = []
     if ranges > 1:
-        some = entries.select(key.alias("k")).filter(F.pmod(F.xxhash64("k"), F.lit(max(1, total // SAMPLE))) == 0)
+        some = entries.select(key.alias("k")).filter(F.pmod(F.xxhash64("k"), F.lit(max(1, total // (SAMPLE * ranges)))) == 0)
         keys = sorted(tuple(r[0]) for r in some.collect())
-        ranges = min(ranges, len(keys))
-        bounds = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)})
+        bounds = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)} if keys else set())
     names = [x.split()[0] for x in ENTRY.split(", ")]
-    out = f"{ENTRY}, range int, place long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import bisect
-
         for b in batches:
-            rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+            rows = zip(*(b.column(n).to_pylist() for n in names), strict=True)
             of = [bisect.bisect_right(bounds, _order(r)) for r in rows]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(of, pa.int32())], names=[*names, "range"])
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        rows = list(group[names].astype(object).where(group[names].notna(), None).itertuples(index=False, name=None))
-        rows = [tuple(int(x) if k in (2, 3, 6, 9, 10) and x is not None else x for k, x in enumerate(r)) for r in rows]
+    placed = stage(entries.select(names).mapInArrow(cut, f"{ENTRY}, range int"), "capture-ranges")
+    starts, at = {}, 0
+    for r in sorted(placed.groupBy("range").count().collect()):
+        starts[r["range"]] = at
+        at += r["count"]
+
+    def merge(group: pa.Table) -> pa.Table:
+        keys = [_order(r) for r in zip(*(group.column(n).to_pylist() for n in names), strict=True)]
         runs: dict[str, list] = {}
-        for i, r in enumerate(rows):
-            runs.setdefault(r[8], []).append((_order(r), i))
+        for i, k in enumerate(keys):
+            runs.setdefault(k[4], []).append((k, i))
         # A file's entries may have come in several blocks; each is sorted, so they are runs of their own.
         split: list[list] = []
-        for entries_of in runs.values():
-            start = 0
-            for i in range(1, len(entries_of) + 1):
-                if i == len(entries_of) or entries_of[i] < entries_of[i - 1]:
-                    split.append(entries_of[start:i])
-                    start = i
+        for own in runs.values():
+            cuts = [0, *(i for i in range(1, len(own)) if own[i] < own[i - 1]), len(own)]
+            split += [own[a:b] for a, b in zip(cuts, cuts[1:])]
         order = [i for _, i in LoserTree(split)]
-        return group.iloc[order].assign(place=range(len(order)))
+        start = starts[group.column("range")[0].as_py()]
+        return group.take(pa.array(order)).append_column("place", pa.array(range(start, start + len(order)), pa.int64()))
 
-    return entries.select(names).mapInArrow(cut, f"{ENTRY}, range int").groupBy("range").applyInPandas(merge, out)
+    return placed.groupBy("range").applyInArrow(merge, f"{ENTRY}, range int, place long")
 
 
 def archive(pages: DataFrame, path: str | None = None, **options: object) -> DataFrame:
-    """Write the archives, read them back and merge their indexes: one row per page.
+    """Write the archives, read them back and merge their indexes: one row per page, with its place in the merged order.
 
-    Nulls and repeated rows as in ``records``; no rows give no rows; other columns are ignored. A file of the archive is read whole by one task, so it holds a bounded number of records.
+    Nulls and repeated rows as in ``records``; equal keys, dates and pages are ordered by file and offset; no rows give no rows; other columns are ignored. A file of the archive is read whole by one task, so it is bounded in records and bytes, but for a single greater record.
     """
     spark = pages.sparkSession
     path = write(pages, path, **options)
     return merged(stage(index(spark, path), "capture-runs"))
 
 
-ORACLE = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
-d AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+#: url_key in SQL; the pages' addresses are well-formed.
+_HOST = r"regexp_replace(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www[0-9]*\.', '')"
+_PATH = r"regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+_QUERY = r"regexp_extract(lower(coalesce(url, '')), '^[^?#]*\?([^#]*)', 1)"
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, {_HOST} AS host, {_PATH} AS path, {_QUERY} AS query FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest, row_number() OVER (ORDER BY array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query <> '' THEN '?' || query ELSE '' END, page_id) - 1 AS place FROM p),
 f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
-SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, place
 FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
 """

@@ -61,14 +61,15 @@ def test_archive_round_trip(spark, monkeypatch, few):
     pages = spark.createDataFrame(ROWS, "page_id long, url string, html string, digest string, bytes long").repartition(2)
     got = warc.archive(pages).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == brute(ROWS)
-    order = [(r.url_key, r.date, r.page_id is not None, r.page_id or 0, r.file, r.offset) for r in sorted(got, key=lambda r: (r["range"], r.place))]
+    order = [(r.url_key, r.date, r.page_id is not None, r.page_id or 0, r.file, r.offset) for r in sorted(got, key=lambda r: r.place)]
     assert order == sorted(order) and len({r["range"] for r in got}) > 1
+    assert sorted(r.place for r in got) == list(range(len(got)))
 
 
 def test_offsets_and_payloads(spark):
     pages = spark.createDataFrame(ROWS, "page_id long, url string, html string, digest string, bytes long")
     path = warc.write(pages)
-    files = {r.path: bytes(r.content) for r in spark.read.format("binaryFile").load(path).collect()}
+    files = {r.path: bytes(r.content) for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).collect()}
     html = {r[0]: (r[2] or "").encode() for r in ROWS}
     for r in warc.index(spark, path).collect():
         (head, _, length, block), *rest = warc.parse(files[r.file][r.offset : r.offset + r.length])
@@ -79,6 +80,30 @@ def test_offsets_and_payloads(spark):
         list(warc.parse(next(iter(files.values()))[:-2]))
 
 
+def test_files_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "FILE_RECORDS", 40)
+    rows = [(i, f"http://a.example.com/{i % 7}", f"{i} " + "x" * (200 if i % 5 else 9000 if i % 3 else 70_000)) for i in range(150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = warc.write(pages)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter("length > 0").collect()
+    for f in files:
+        assert f.length <= 40_000 or len(list(warc.parse(bytes(f.content)))) == 1
+    got = warc.merged(warc.stage(warc.index(spark, path), "t")).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == [(i, len(h)) for i, _, h in rows]
+
+
+def test_places_split_one_address_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 20)
+    pages = spark.createDataFrame([(i, "http://one.example.com/" if i % 3 else f"http://{i}.example.com/", "h") for i in range(400)], "page_id long, url string, html string")
+    got = sorted(warc.archive(pages).collect(), key=lambda r: r.place)
+    assert [r.page_id for r in got] == [i for _, i in sorted((warc.url_key("http://one.example.com/" if i % 3 else f"http://{i}.example.com/"), i) for i in range(400))]
+    sizes = {}
+    for r in got:
+        sizes[r["range"]] = sizes.get(r["range"], 0) + 1
+    assert len(sizes) > 10 and max(sizes.values()) < 100
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive(pages).count() == 0
