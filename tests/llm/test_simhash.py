@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from graphlake.llm import simhash
@@ -65,6 +66,36 @@ def test_links_match_brute_force(spark):
         assert {got.get(m, m) for m in members} == {min(members)}
 
 
+@pytest.mark.parametrize(("crowded", "finest"), [(400, 16), (60, 8), (30, 4)])
+def test_crowded_points_meet_on_finer_grids(spark, monkeypatch, crowded, finest):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    monkeypatch.setattr(simhash, "FINEST", finest)
+    rng = random.Random(4)
+    fps = {rng.getrandbits(64) for _ in range(500)}
+    for f in list(fps)[:100]:
+        for _ in range(3):
+            for b in rng.sample(range(64), rng.choice([1, 3, 4, 5])):
+                f ^= 1 << b
+            fps.add(f)
+    fps = sorted(fps)
+    signed = [int(np.uint64(f).view(np.int64)) for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    got = {r.node: r.root for r in components(simhash.fingerprint_links(df)).collect()}
+    of, least = brute_components(list(range(len(fps))), fps), {}
+    for i, c in of.items():
+        least[c] = min(least.get(c, signed[i]), signed[i])
+    assert {s: got.get(s, s) for s in signed} == {signed[i]: least[c] for i, c in of.items()}
+
+
+def test_keep_first_tells_rows_apart(spark):
+    rows = [(1, "alpha beta gamma delta", 1, "p"), (1, "wholly other words stand here", 1, "q"), (2, "wholly other words stand here", 2, "r"), (None, "a third text without id", 3, "s"), (None, "a third text without id", 3, "s"), (None, "alpha beta gamma delta", 3, "t"), (7, None, 4, "u"), (6, "", 5, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k0 int, `__k0` string")
+    want = sorted([rows[0], rows[1], rows[3], rows[7]], key=str)
+    assert sorted(map(tuple, simhash.keep_first(docs).collect()), key=str) == want
+    assert simhash.keep_first(docs).columns == docs.columns
+    assert simhash.keep_first(docs.limit(0)).count() == 0
+
+
 def test_crowded_points_split(monkeypatch):
     rng = random.Random(3)
     base = rng.getrandbits(64)
