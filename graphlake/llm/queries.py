@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.ORACLE, "op3_preferences": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op8_line_dedup": linededup.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op1_cover_tree": covertree.ORACLE, "op2_license_scan": license_scan.ORACLE, "op3_preferences": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op8_line_dedup": linededup.ORACLE, "op10_warc": warc.ORACLE}

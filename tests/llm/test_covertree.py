@@ -54,8 +54,12 @@ def test_matches_brute_force(spark, monkeypatch):
     want = brute(rows)
     assert sorted(map(tuple, covertree.near_duplicates(df).collect()), key=str) == want
     monkeypatch.setattr(covertree, "BLOCK", 60)
-    monkeypatch.setattr(covertree, "CELL", 40)
+    monkeypatch.setattr(covertree, "FAN", 3)
+    depth = []
+    split = covertree._split
+    monkeypatch.setattr(covertree, "_split", lambda placed, big, level: depth.append(level) or split(placed, big, level))
     assert sorted(map(tuple, covertree.near_duplicates(df).collect()), key=str) == want
+    assert max(depth) >= 2
     assert covertree.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -82,3 +86,33 @@ def test_nets_cover_and_keep_apart():
         c = covertree.net(x, radius)
         d = covertree.distances(x, x[c])
         assert d.min(1).max() <= radius and (covertree.distances(x[c], x[c]) + 9 * np.eye(len(c))).min() > radius
+
+
+def test_finite_vectors_of_any_size(spark):
+    rng = np.random.default_rng(21)
+    rows = [(i, list(map(float, rng.normal(size=8)))) for i in range(60)]
+    rows += [(100 + i, [x * s for x in rows[i][1]]) for i, s in enumerate([1e200, 1e-200, 1e300, 1e-300])]
+    rows += [(200, [1e200] * 8), (201, [1e-200] * 8), (202, [3.0] * 8), (203, [1e308, -1e308] + [0.0] * 6), (204, [5e-324] + [0.0] * 7), (205, [1.0] + [0.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.id: (r.n_links, r.component_id) for r in covertree.near_duplicates(df).collect()}
+    for i in range(4):
+        assert got[100 + i][1] == got[i][1] and got[i][0] >= 1
+    assert {got[i][1] for i in (200, 201, 202)} == {200} and got[204] == (1, 204) and got[205] == (1, 204)
+
+
+def test_vectors_that_can_not_be_told_apart_are_sliced(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "BLOCK", 20)
+    monkeypatch.setattr(covertree, "LEVELS", 0)
+    rows = [(i, v) for i, (_, v) in enumerate(rows_of(23, 80))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, covertree.near_duplicates(df).collect()), key=str) == brute(rows)
+
+
+def test_a_task_of_far_apart_vectors_is_small():
+    import tracemalloc
+
+    x = np.random.default_rng(22).normal(size=(8192, 64))
+    tracemalloc.start()
+    links, edges = covertree.linked(x, np.ones(len(x), np.int64), np.arange(len(x)), None, 0.95)
+    peak = tracemalloc.get_traced_memory()[1]
+    assert not links.any() and not edges and peak < 400e6, peak
