@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,12 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests) an own temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else, on a single machine only, an own temporary one."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="graphlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -60,3 +63,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def few_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether a staged table is small enough to be broadcast."""
     return df.limit(limit + 1).count() <= limit
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, with underscores before those that are columns already, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out

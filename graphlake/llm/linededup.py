@@ -11,16 +11,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphlake.llm.common import stage
+from graphlake.llm.common import stage, unused
 
 BLANK = b" \t\n\x0b\x0c\r"
 SLOTS = 4  # per bucket
-SHARDS = 64
-PASS_KEYS = 1_000_000  # keys whose filters and exact table are broadcast at once
+SHARDS = 64  # of the key space, at least
+SHARD_KEYS = 100_000  # keys of a shard, about, when the index is built
+PASS_KEYS = 1_000_000  # keys over the threshold up to which filters and exact table are broadcast; of more, lines travel to their shard
+SALTS = 16  # parts that a shard's lines are dealt to, as one line may be very common
 
 
 def key_of(line: bytes) -> bytes | None:
@@ -166,8 +168,13 @@ class LineIndex:
         self.counts, self.filters, self.threshold, self.shards = counts, filters, threshold, shards
 
     @classmethod
-    def build(cls, docs: DataFrame, threshold: int = 10, shards: int = SHARDS, text_col: str = "text") -> LineIndex:
+    def build(cls, docs: DataFrame, threshold: int = 10, shards: int | None = None, text_col: str = "text") -> LineIndex:
+        """The index of ``docs``; ``shards``, if not given, follows the number of keys over the threshold.
+
+        A document counts a key once, however often it holds it; a row that is repeated is a document each time. Null and empty texts and blank lines have no key. No rows give an empty index. Only the texts are read, other columns are ignored.
+        """
         counts = stage(_count(docs, text_col), "line-counts")
+        shards = shards or max(SHARDS, -(-counts.filter(F.col("n") >= threshold).count() // SHARD_KEYS))
         return cls(counts, cls._fresh(counts, threshold, shards), threshold, shards)
 
     @staticmethod
@@ -211,61 +218,82 @@ class LineIndex:
         return LineIndex(both.filter("n > 0").select("key", "n"), new, t, shards)
 
     def insert(self, docs: DataFrame, text_col: str = "text") -> LineIndex:
+        """The index with ``docs`` as well; rows and nulls count as in ``build``, a document that is inserted twice counts twice."""
         return self._changed(_count(docs, text_col))
 
     def delete(self, docs: DataFrame, text_col: str = "text") -> LineIndex:
+        """The index without ``docs``, which must have been inserted: a ValueError if any key's count fell below zero, as when a document is deleted twice. Texts without keys may always be deleted."""
         return self._changed(_count(docs, text_col).select("key", (-F.col("n")).alias("n")))
 
-    def _passes(self) -> list[list[int]]:
-        """Shards whose keys may be broadcast together; one that has too many alone is a pass of its own."""
-        full = self.counts.filter(F.col("n") >= self.threshold)
-        out: list[list[int]] = []
-        room = 0
-        for shard, n in sorted((r[0], r[1]) for r in full.groupBy(_shard(self.shards).alias("s")).count().collect()):
-            if n > room:
-                out.append([])
-                room = PASS_KEYS
-            out[-1].append(shard)
-            room -= n
-        return out
-
-    def apply(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """``docs`` with ``text_col`` less its dropped lines, n_lines (before) and n_dropped.
+    def apply(self, docs: DataFrame, text_col: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+        """``docs`` with ``text_col`` less its dropped lines, ``n_lines`` (before) and ``n_dropped``.
 
-        A null text counts as one empty line and becomes the empty text. Lines without a key stay. Columns named n_lines or n_dropped are replaced; rows repeat as they are repeated; no rows give no rows. Up to ``PASS_KEYS`` keys, one pass over the documents; beyond, one for each group of shards, its result written before the next.
+        A null text counts as one empty line and becomes the empty text; texts of any length are read whole. Lines without a key stay. Columns of the two counts' names are replaced; rows repeat as they are repeated; no rows give no rows.
         """
-        spark: SparkSession = docs.sparkSession
-        shards = self.shards
-        out = docs.withColumn("n_lines", F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).cast("long")).withColumn("n_dropped", F.lit(0).cast("long"))
+        out = docs.withColumn(n_lines, F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).cast("long")).withColumn(n_dropped, F.lit(0).cast("long"))
         out = out.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-        # All lines of a text may go; "" would then look like one empty line, so what is left is marked by a null until the end.
-        passes = self._passes()
-        for k, group in enumerate(passes):
-            filters = {r.shard: bytes(r.data) for r in self.filters.filter(F.col("shard").isin(group)).collect()}
-            keys = self.counts.filter(F.col("n") >= self.threshold).filter(_shard(shards).isin(group)).select("key").toArrow().column(0)
-            shared = spark.sparkContext.broadcast((filters, b"".join(x.as_py() for x in keys), shards))
-            out = _dropped(out, text_col, shared)
-            if k + 1 < len(passes):
-                out = stage(out, "lines-pass")
-                shared.destroy()
-        return out.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-
-
-def _dropped(docs: DataFrame, text_col: str, shared) -> DataFrame:  # noqa: ANN001
+        full = self.counts.filter(F.col("n") >= self.threshold).select("key")
+        if full.limit(PASS_KEYS + 1).count() > PASS_KEYS:
+            return self._joined(out, full, text_col, n_dropped)
+        filters = {r.shard: bytes(r.data) for r in self.filters.collect()}
+        keys = b"".join(x.as_py() for x in full.toArrow().column(0))
+        return _dropped(out, text_col, n_dropped, docs.sparkSession.sparkContext.broadcast((filters, keys, self.shards)))
+
+    def _joined(self, docs: DataFrame, full: DataFrame, text_col: str, n_dropped: str) -> DataFrame:
+        """Lines go to the filter of their shard, those it answers to the exact keys, and the numbers of the lines to drop back to their texts: one pass for any number of keys, and nothing on the driver."""
+        names = unused(docs.columns, "t0", "t1", "gone")
+        marks = [F.xxhash64(F.lit(k), F.col(text_col)) for k in (0, 1)]  # two hashes of 64 bits name a text
+        shards = self.shards
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for t, t0, t1 in zip(*(b.column(k) for k in range(3)), strict=True):
+                    found = [(i, k) for i, line in enumerate(t.as_py().encode("utf-8", "surrogatepass").split(b"\n")) if (k := key_of(line))]
+                    for a in range(0, len(found), 20_000):
+                        at, keys = zip(*found[a : a + 20_000], strict=True)
+                        shard = [int.from_bytes(k[:2], "big") % shards for k in keys]
+                        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([t0.as_py()] * len(at), pa.int64()), pa.array([t1.as_py()] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(keys, pa.binary())], names=["shard", "t0", "t1", "line", "data"])
+
+        texts = docs.select(F.col(text_col), marks[0].alias("t0"), marks[1].alias("t1")).dropDuplicates(["t0", "t1"])
+        lines = texts.mapInArrow(split, "shard int, t0 long, t1 long, line int, data binary")
+        lines = lines.select("shard", F.pmod(F.xxhash64("t0", "line"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), "t0", "t1", "line", "data")
+        none = F.lit(0).cast("long")
+        lead = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), none.alias("t0"), none.alias("t1"), F.lit(0).alias("line"), "data")
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, own = None, None
+            for b in batches:
+                keep = []
+                for i, (shard, salt, kind, data) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 6)), strict=True)):
+                    if kind == 0:
+                        at, own = (shard, salt), CuckooFilter.load(data)
+                    elif at == (shard, salt) and data in own:
+                        keep.append(i)
+                yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(keep, pa.int64())) for k in (3, 4, 5, 6)], names=["t0", "t1", "line", "key"])
+
+        asked = lines.unionByName(lead).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(ask, "t0 long, t1 long, line int, key binary")
+        sure = asked.join(full, "key", "left_semi").groupBy("t0", "t1").agg(F.collect_list("line").alias("gone"))
+        out = docs.withColumns(dict(zip(names[:2], marks, strict=True))).join(sure.toDF(*names), names[:2], "left")
+        gone = F.col(names[2])
+        left = F.array_join(F.transform(F.filter(F.transform(F.split(F.col(text_col), "\n", -1), lambda line, i: F.struct(line.alias("line"), i.alias("i"))), lambda x: ~F.array_contains(gone, x["i"])), lambda x: x["line"]), "\n")
+        out = out.withColumn(text_col, F.when(gone.isNull(), F.col(text_col)).otherwise(left)).withColumn(n_dropped, F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+        return out.drop(*names)
+
+
+def _dropped(docs: DataFrame, text_col: str, n_dropped: str, shared) -> DataFrame:  # noqa: ANN001
     names = docs.columns
-    at, at_n = names.index(text_col), names.index("n_dropped")
+    at, at_n = names.index(text_col), names.index(n_dropped)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _Lookup(*shared.value)
         for b in batches:
             texts, owners, keys, split = [t.as_py() for t in b.column(at)], [], [], {}
             for i, t in enumerate(texts):
-                if t is not None:
-                    lines = split[i] = t.encode("utf-8", "surrogatepass").split(b"\n")
-                    for j, line in enumerate(lines):
-                        if key := key_of(line):
-                            owners.append((i, j))
-                            keys.append(key)
+                lines = split[i] = t.encode("utf-8", "surrogatepass").split(b"\n")
+                for j, line in enumerate(lines):
+                    if key := key_of(line):
+                        owners.append((i, j))
+                        keys.append(key)
             gone = b.column(at_n).to_numpy().copy()
             if keys:
                 hit: dict[int, set[int]] = {}
@@ -273,8 +301,7 @@ def _dropped(docs: DataFrame, text_col: str, shared) -> DataFrame:  # noqa: ANN0
                     i, j = owners[k]
                     hit.setdefault(i, set()).add(j)
                 for i, drop in hit.items():
-                    left = [line for j, line in enumerate(split[i]) if j not in drop]
-                    texts[i] = b"\n".join(left).decode("utf-8", "surrogatepass") if left else None
+                    texts[i] = b"\n".join(line for j, line in enumerate(split[i]) if j not in drop).decode("utf-8", "surrogatepass")
                     gone[i] += len(drop)
             columns = list(b.columns)
             columns[at], columns[at_n] = pa.array(texts, pa.string()), pa.array(gone, pa.int64())
@@ -283,9 +310,9 @@ def _dropped(docs: DataFrame, text_col: str, shared) -> DataFrame:  # noqa: ANN0
     return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
 
 
-def dedup_lines(docs: DataFrame, threshold: int = 10, text_col: str = "text") -> DataFrame:
-    """Drop the lines whose keys ``threshold`` documents or more hold, in every document."""
-    return LineIndex.build(docs, threshold, text_col=text_col).apply(docs, text_col)
+def dedup_lines(docs: DataFrame, threshold: int = 10, text_col: str = "text", **names: str) -> DataFrame:
+    """Drop the lines whose keys ``threshold`` documents or more hold, in every document; nulls, repeats, long texts and clashing names as in ``LineIndex.apply``, which ``names`` goes to."""
+    return LineIndex.build(docs, threshold, text_col=text_col).apply(docs, text_col, **names)
 
 
 ORACLE = r"""

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from graphlake.llm import linededup
 from graphlake.llm.linededup import CuckooFilter, LineIndex, key_of
@@ -49,7 +50,19 @@ def test_matches_brute_force_insert_delete(spark, monkeypatch):
     assert run(back, half) == sorted((i, *x) for i, x in zip([i for i in range(len(texts)) if i % 2 == 0], brute(texts[::2], 5)))
     assert sorted(map(tuple, back.counts.collect())) == sorted(map(tuple, LineIndex.build(half, 5, shards=4).counts.collect()))
     monkeypatch.setattr(linededup, "PASS_KEYS", 1)
-    assert len(index._passes()) > 1 and run(index, df) == want
+    assert run(index, df) == want  # beyond what is broadcast, lines travel to their shard
+    clashing = df.withColumnsRenamed({"key": "t0", "n_lines": "gone"})
+    assert run(index, clashing) == want and index.apply(clashing).columns == ["doc_id", "text", "gone", "t0", "n_lines", "n_dropped"]
+    assert index.apply(df.limit(0)).count() == 0
+
+
+def test_deleting_twice_fails_and_blank_texts_never_do(spark):
+    df = spark.createDataFrame([(1, "a\nb"), (2, None), (3, " \n")], "doc_id long, text string")
+    index = LineIndex.build(df, 2)
+    once = index.delete(df)
+    assert once.counts.count() == 0 and once.delete(df.filter("doc_id > 1")).counts.count() == 0
+    with pytest.raises(ValueError):
+        once.delete(df)
 
 
 def test_empty_table(spark):
