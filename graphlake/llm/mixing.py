@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import few_rows, stage, word_count
+from graphlake.llm.common import few_rows, stage, unused, word_count
 
 SALTS = 32
 
@@ -32,32 +32,35 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return per.select("source", "source_size", "target")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
-    """Every row of ``docs`` with mix_size, mix_source_size, mix_target and mix_copies (an int of at most ``cap``, rounded up).
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix", prefix: str = "mix_") -> DataFrame:
+    """Every row of ``docs`` with size, source_size, target and copies (an int of at most ``cap``, rounded up), their names after ``prefix``.
 
-    Null texts have size 0; null sources are one source; rows of equal id, a null id among them, share their draw; columns that bear these names are replaced. An empty table gives no rows. The source table is broadcast if it is small, else joined over salted keys, as a source may hold a third of all rows.
+    Null texts have size 0, texts of any length are counted whole; null sources are one source; rows of equal id, a null id among them, share their draw; columns that bear these names are replaced. An empty table gives no rows. The source table is broadcast if it is small, else joined over salted keys, as a source may hold a third of all rows.
     """
-    sized = docs.withColumn("mix_size", word_count(F.col(text_col)))
-    targets = stage(source_targets(sized.select(F.col(source_col).alias("source"), F.col("mix_size").alias("size")), weights, share, cap), "targets")
-    right = targets.select(F.col("source").alias("mix__source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    sized = sized.drop("mix_source_size", "mix_target", "mix_copies", "mix__source", "mix__salt", "mix__right")
-    same = F.col(source_col).eqNullSafe(F.col("mix__source"))
+    size, source_size, target, copies = (f"{prefix}{n}" for n in ("size", "source_size", "target", "copies"))
+    sized = docs.drop(source_size, target, copies).withColumn(size, word_count(F.col(text_col)))
+    source, salt, right_salt = unused(sized.columns, "mix__source", "mix__salt", "mix__right")
+    targets = stage(source_targets(sized.select(F.col(source_col).alias("source"), F.col(size).alias("size")), weights, share, cap), "targets")
+    right = targets.select(F.col("source").alias(source), F.col("source_size").alias(source_size), F.col("target").alias(target))
+    same = F.col(source_col).eqNullSafe(F.col(source))
     if few_rows(targets):
         joined = sized.join(F.broadcast(right), same)
     else:
-        salted = right.withColumn("mix__right", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS))
-        joined = sized.withColumn("mix__salt", salt).join(salted, same & (F.col("mix__salt") == F.col("mix__right"))).drop("mix__salt", "mix__right")
+        salted = right.withColumn(right_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS))
+        joined = sized.withColumn(salt, own).join(salted, same & (F.col(salt) == F.col(right_salt))).drop(salt, right_salt)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("mix_copies", copies.cast("int")).drop("mix__source")
+    rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(F.lit(0.0))
+    return joined.withColumn(copies, (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("int")).drop(source)
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
-    """The mix itself: each document as many times as drawn, with the columns of ``docs``."""
-    copies = mixed(docs, **options).withColumn("mix__copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies"))))
-    return copies.filter("mix__copy > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mix itself: each document as many times as drawn, with the columns of ``docs``, whatever their names."""
+    prefix = "mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    copies = mixed(docs, prefix=prefix, **options).withColumn(f"{prefix}copy", F.explode(F.sequence(F.lit(0), F.col(f"{prefix}copies"))))
+    return copies.filter(F.col(f"{prefix}copy") > 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphlake.llm.common import unused
+
 WINDOW, STEP = 256, 128
 MARGIN = 3  # bytes by which a window counts as toxic
 MOST = 12.0  # bytes that one window's saving counts for, at most
@@ -24,6 +26,7 @@ SAMPLE_CHARS = 20_000  # of a document in that sample, at most; longer ones are
 DICTIONARY = 4096  # bytes of each trained dictionary, about
 SEGMENT, KEYS = 50, 8  # of the trainer: bytes of the segments it picks and of the strings it counts
 LIFT, SHARE = 8.0, 0.04  # of a word of toxic text: how many times likelier than in ordinary text, and its share of toxic documents, at least
+LEAST = 5  # toxic documents that hold such a word, at least
 FOLDS = 3
 
 
@@ -37,7 +40,7 @@ def _told(own: list[bytes], other: list[bytes]) -> list[bytes]:
     for counts, texts in ((mine, own), (theirs, other)):
         for t in texts:
             counts.update(set(t.split()))
-    least = max(3, SHARE * len(own))
+    least = max(LEAST, SHARE * len(own))
     keep = {w for w, n in mine.items() if n >= least and n / len(own) > LIFT * (theirs[w] + 0.5) / (len(other) + 1)}
     return [b" " + b" ".join(words) + b" " for t in own if (words := [w for w in t.split() if w in keep])]
 
@@ -141,16 +144,24 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     Whole texts are scored, null as empty, which still has a score; repeated rows stay; no rows give no rows.
     """
     docs = docs.drop("score", "predicted")
-    names = [*docs.columns, "score"]
-    at = docs.columns.index(text_col)
+    return _with_score(docs, model, text_col, "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def ordinary(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below 0.5, with all their columns, whatever their names; nulls, repeats and no rows as in ``scored``."""
+    (score,) = unused(docs.columns, "score")
+    return _with_score(docs, model, text_col, score).filter(F.col(f"`{score}`") < 0.5).drop(score)
+
+
+def _with_score(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
+    names, at = [*docs.columns, name], docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([score(t.as_py()) for t in b.column(at)], pa.float64())], names=names)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def fold(id_col: str = "doc_id") -> Column:

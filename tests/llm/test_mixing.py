@@ -46,8 +46,8 @@ def test_copies_nulls_repeats_and_clashing_columns(spark, monkeypatch):
         draw = int(hashlib.md5(key.encode()).hexdigest()[:13], 16) / 2**52
         assert r.mix_copies == int(rate) + (draw < rate % 1)
     copies = sum(r.mix_copies for r in got)
-    mixed = mixing.mix(docs.drop("mix_size"))
-    assert mixed.count() == copies and mixed.columns == ["doc_id", "text", "source"]
+    mixed = mixing.mix(docs)
+    assert mixed.count() == copies and mixed.columns == docs.columns and {r.mix_size for r in mixed.collect()} == {9}
     monkeypatch.setattr(mixing, "few_rows", lambda df: False)
     salted = mixing.mixed(docs)
     assert sorted(map(str, salted.collect())) == sorted(map(str, got))
