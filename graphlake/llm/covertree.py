@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from graphlake.llm.common import few_rows, stage
 from graphlake.llm.components import components
-from graphlake.llm.simhash import Forest
 
 BLOCK = 8192  # vectors of a node that is not split any further, at most
 SAMPLE = 4096  # vectors of a node that its pivots are chosen from, about, by a hash
@@ -103,7 +102,21 @@ class Pairs:
 
     def __init__(self, x: np.ndarray, weight: np.ndarray, cosine: float) -> None:
         self.x, self.weight, self.cosine, self.limit = x, weight, cosine, float(np.sqrt(2 - 2 * cosine))
-        self.links, self.forest = np.zeros(len(x), np.int64), Forest()
+        self.links, self.least = np.zeros(len(x), np.int64), np.arange(len(x))
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Vectors at a and b belong together: ``least`` keeps for each the least that it is joined with."""
+        while True:
+            x, y = self.least[a], self.least[b]
+            if not (apart := x != y).any():
+                return
+            np.minimum.at(self.least, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+            while not np.array_equal(up := self.least[self.least], self.least):
+                self.least = up
+
+    def edges(self) -> list[tuple[int, int]]:
+        own = np.flatnonzero(self.least != np.arange(len(self.least)))
+        return list(zip(own.tolist(), self.least[own].tolist(), strict=True))
 
     def _whole(self, a: Node, b: Node) -> None:
         """Every vector of a is linked with every one of b (or with every other of a)."""
@@ -112,9 +125,8 @@ class Pairs:
         else:
             self.links[a.own] += self.weight[b.own].sum()
             self.links[b.own] += self.weight[a.own].sum()
-        first = int(a.own[0])
-        for i in (*a.own.tolist(), *(b.own.tolist() if b is not a else ())):
-            self.forest.join(first, i)
+        every = a.own if a is b else np.concatenate([a.own, b.own])
+        self._join(np.full(len(every), every[0]), every)
 
     def _compare(self, i: np.ndarray, j: np.ndarray) -> None:
         """Pairs of vectors, exactly."""
@@ -124,8 +136,7 @@ class Pairs:
             a, b = a[hit], b[hit]
             np.add.at(self.links, a, self.weight[b])
             np.add.at(self.links, b, self.weight[a])
-            for u, v in zip(a.tolist(), b.tolist(), strict=True):
-                self.forest.join(u, v)
+            self._join(a, b)
 
     def _exact(self, a: Node, b: Node) -> None:
         """Both nodes are leaves, of one vector or of vectors that rounding can't tell apart; a tile of them at a time."""
@@ -158,7 +169,8 @@ class Pairs:
                     d[own, own + k] = 0.0
                 i, j = np.nonzero(near)
                 within = (d + reach)[i, j] <= self.limit - ROUNDING
-                single = lone[j] & np.array([not n.kids and len(n.own) == 1 for n in part])[i] & ~within
+                lone_part = np.array([not n.kids and len(n.own) == 1 for n in part])
+                single = lone[j] & lone_part[i]
                 if a is b:
                     single &= i + k != j
                 single_i, single_j = i[single], j[single]
@@ -186,8 +198,7 @@ def linked(vectors: np.ndarray, weight: np.ndarray, first: np.ndarray, second: n
         found.walk(roots[0], roots[0])
     elif float(distances(x[[roots[0].centre]], x[[roots[1].centre]])[0, 0]) <= roots[0].radius + roots[1].radius + found.limit + ROUNDING:
         found.walk(*roots)
-    u, v = found.forest.edges()
-    return found.links, list(zip(u, v, strict=True))
+    return found.links, found.edges()
 
 
 VECTOR = "k1 long, k2 long, v array<double>, n long, node string, far double"
