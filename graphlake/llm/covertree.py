@@ -77,24 +77,46 @@ def pivots(x: np.ndarray, most: int) -> np.ndarray:
     return chosen
 
 
+def cover(x: np.ndarray, radius: float, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A net as ``net`` makes it, and for each point a centre within the radius and its distance, out of the same distances."""
+    left, centres = np.arange(len(x)), []
+    to, far, base = np.zeros(len(x), np.int64), np.zeros(len(x)), 0
+    while left.size:
+        head, tail = left[:step], left[step:]
+        d = distances(x[head], x[head])
+        new: list[int] = []
+        for i in range(len(head)):
+            if not new or d[i, new].min() > radius:
+                new.append(i)
+        centres.append(head[new])
+        to[head], far[head] = base + d[:, new].argmin(1), d[:, new].min(1)
+        near, gap = nearest(x[tail], x[head[new]])
+        hit = gap <= radius
+        to[tail[hit]], far[tail[hit]] = base + near[hit], gap[hit]
+        left, base = tail[~hit], base + len(new)
+    return np.concatenate(centres), to, far
+
+
 class Node:
-    """A centre, its descendants, and their greatest distance from it; a leaf's is 0: one vector, or equal ones."""
+    """A centre, its descendants, and their greatest distance from it; a leaf is one vector, or equal ones. Children are made when they are first asked for."""
 
-    __slots__ = ("centre", "kids", "own", "radius")
+    __slots__ = ("_kids", "_x", "centre", "level", "own", "radius")
 
     def __init__(self, x: np.ndarray, own: np.ndarray, centre: int, radius: float, level: float) -> None:
-        self.own, self.centre, self.radius, self.kids = own, centre, radius, []
-        if len(own) > 1 and radius > SLACK:
-            level = min(level, radius) / 2
-            order = np.concatenate([[centre], own[own != centre]])
-            centres = order[net(x[order], level)]
-            if len(centres) == 1:  # rounding: nothing could be told apart
-                return
-            to, far = nearest(x[own], x[centres])
-            by = np.argsort(to, kind="stable")
-            for k, part in enumerate(np.split(by, np.searchsorted(to[by], np.arange(1, len(centres))))):
-                if part.size:
-                    self.kids.append(Node(x, own[part], int(centres[k]), float(far[part].max()), level))
+        self._x, self.own, self.centre, self.radius, self.level, self._kids = x, own, centre, radius, level, None
+
+    @property
+    def kids(self) -> list[Node]:
+        if self._kids is None:
+            self._kids = []
+            if len(self.own) > 1 and self.radius > SLACK:
+                level, order = min(self.level, self.radius) / 2, np.concatenate([[self.centre], self.own[self.own != self.centre]])
+                centres, to, far = cover(self._x[order], level)
+                if len(centres) > 1:  # else rounding: nothing could be told apart
+                    by = np.argsort(to, kind="stable")
+                    for k, part in enumerate(np.split(by, np.searchsorted(to[by], np.arange(1, len(centres))))):
+                        self._kids.append(Node(self._x, order[part], int(order[centres[k]]), float(far[part].max()), level))
+        return self._kids
 
 
 class Pairs:
@@ -155,7 +177,7 @@ class Pairs:
                 continue
             every = b.kids or [b]
             radii, at = np.array([n.radius for n in every]), self.x[[n.centre for n in every]]
-            lone = np.array([not n.kids and len(n.own) == 1 for n in every])
+            lone = np.array([len(n.own) == 1 for n in every])
             mine = a.kids or [a]
             for k in range(0, len(mine), TILE):
                 part = mine[k : k + TILE]
@@ -169,7 +191,7 @@ class Pairs:
                     d[own, own + k] = 0.0
                 i, j = np.nonzero(near)
                 within = (d + reach)[i, j] <= self.limit - ROUNDING
-                lone_part = np.array([not n.kids and len(n.own) == 1 for n in part])
+                lone_part = np.array([len(n.own) == 1 for n in part])
                 single = lone[j] & lone_part[i]
                 if a is b:
                     single &= i + k != j
