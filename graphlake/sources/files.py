@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphlake.config import LIMITS
@@ -27,7 +27,9 @@ def scanned(found: DataFrame, limits=LIMITS) -> DataFrame:  # noqa: ANN001
     skipped = "|".join(_quoted(d) for d in rules.SKIPPED_DIRS)
     out = found.filter(~F.col("rel").rlike(rf"(^|/)({skipped}|\.[^/]+)/"))
     out = with_language(out).withColumn("text", F.when(F.col("ext").isin(rules.CODE), F.decode("content", "UTF-8")))
-    return out.select("rel", "ext", "language", "text", F.when(F.col("text").isNotNull(), line_count(F.col("text"))).otherwise(0).alias("loc"), F.xxhash64("rel").alias("ord")).orderBy("rel").limit(limits.max_files)
+    out = out.select("rel", "ext", "language", "text", F.when(F.col("text").isNotNull(), line_count(F.col("text"))).otherwise(0).alias("loc"))
+    # At most max_files rows are numbered; paths in order are the order of the scan.
+    return out.orderBy("rel").limit(limits.max_files).withColumn("ord", F.row_number().over(Window.orderBy("rel")) - 1)
 
 
 def _quoted(text: str) -> str:
@@ -109,8 +111,6 @@ def recent(commits: DataFrame, n: int = 30) -> DataFrame:
 
 def ownership(lines: DataFrame) -> DataFrame:
     """(email, name, file, commits) from a log whose header lines hold a tab and whose other lines are paths; ``.py`` files only. lines: (value, seq, part), part parting logs of which each is read in order."""
-    from pyspark.sql import Window
-
     at = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     head = F.instr("value", "\t") > 0
     filled = lines.withColumn("head", F.last(F.when(head, F.col("value")), ignorenulls=True).over(at)).filter(~head & F.endswith("value", F.lit(".py")))
