@@ -207,11 +207,11 @@ def metric_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.trends(m, "repo", "seq").select("repo", "seq", "seq_change")
 
 
-@of("""WITH s AS (SELECT source, lang, sum(len(string_split(text, chr(10)))) AS loc FROM documents GROUP BY ALL)
-SELECT source || '-' || lang AS file, 'Large file (' || loc || ' LOC)' AS title, CASE WHEN loc > 1200 THEN 4 ELSE 2 END AS severity FROM s WHERE loc > 600""")
+@of("""WITH s AS (SELECT lang, sum(len(string_split(text, chr(10)))) AS loc FROM documents GROUP BY ALL)
+SELECT lang AS file, 'Large file (' || loc || ' LOC)' AS title, CASE WHEN loc > 1200 THEN 4 ELSE 2 END AS severity FROM s WHERE loc > 600""")
 def large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source's documents of a language as one file."""
-    d = table(spark, sf_dir, "documents").groupBy(F.concat_ws("-", "source", "lang").alias("rel")).agg(F.lit("").alias("text"), F.sum(F.size(F.split("text", "\n", -1))).alias("loc"))
+    """The documents of a language as one file."""
+    d = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("rel")).agg(F.lit("").alias("text"), F.sum(F.size(F.split("text", "\n", -1))).alias("loc"))
     return text_lines.large_files(d).select("file", "title", "severity")
 
 
