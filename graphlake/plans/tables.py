@@ -68,9 +68,9 @@ SQL_SCORES = (
 
 @of(f"WITH {SQL_SCORES} SELECT * FROM s")
 def dimension_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = doc_lines(spark, sf_dir)
-    issues = text_lines.rule_hits(own).withColumn("blast", F.lit(1))
-    return score.dimension_scores(issues, own.count())
+    issues = text_lines.rule_hits(doc_lines(spark, sf_dir)).withColumn("blast", F.lit(1))
+    counted = table(spark, sf_dir, "documents").filter("text is not null").agg(F.sum(F.size(F.split("text", "\n", -1))).alias("loc"))
+    return score.dimension_scores(issues, counted.first()["loc"] or 0)
 
 
 @of(f"WITH {SQL_SCORES} SELECT CAST(floor(sum(score * weight) + 0.5) AS BIGINT) AS overall FROM s")
