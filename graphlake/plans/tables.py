@@ -271,7 +271,7 @@ def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     agent = F.element_at(F.array(*map(F.lit, swarm.AGENTS)), (F.col("l_linenumber") % 7 + 1).cast("int"))
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2")
+    li = table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("l_suppkey").orderBy("l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
     return li.select(
         agent.alias("agent"), (F.col("l_quantity") % 5 + 1).cast("int").alias("severity"), (F.col("l_discount") * 4 + 0.5).alias("confidence"), F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("title"), F.col("l_suppkey").cast("string").alias("file"), F.col("l_partkey").cast("int").alias("line"),
@@ -280,7 +280,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_FINDINGS = """fd AS (SELECT ['security', 'performance', 'refactor', 'deadcode', 'dependency', 'architecture', 'test'][l_linenumber % 7 + 1] AS agent, CAST(l_quantity % 5 + 1 AS INT) AS severity, l_discount * 4 + 0.5 AS confidence, 't' || l_orderkey AS title, CAST(l_suppkey AS VARCHAR) AS file, CAST(l_partkey AS INT) AS line,
-1 + l_orderkey % 9 AS blast, 1 + l_orderkey % 4 AS churn, ['S', 'M', 'L'][l_orderkey % 3 + 1] AS effort, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate) AS ord, l_linenumber % 7 AS agent_ord FROM lineitem WHERE l_linenumber <= 2),
+1 + l_orderkey % 9 AS blast, 1 + l_orderkey % 4 AS churn, ['S', 'M', 'L'][l_orderkey % 3 + 1] AS effort, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate) AS ord, l_linenumber % 7 AS agent_ord FROM lineitem),
 g0 AS (SELECT *, CASE WHEN line - lag(line) OVER w > 2 THEN 1 WHEN lag(line) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM fd WINDOW w AS (PARTITION BY file ORDER BY line, agent_ord, ord)),
 g1 AS (SELECT *, sum(new) OVER (PARTITION BY file ORDER BY line, agent_ord, ord ROWS UNBOUNDED PRECEDING) AS grp FROM g0),
 g2 AS (SELECT *, row_number() OVER (PARTITION BY file, grp ORDER BY severity DESC, line, agent_ord, ord) AS rk, first_value(agent) OVER (PARTITION BY file, grp ORDER BY severity DESC, line, agent_ord, ord) AS lead_agent FROM g1),
