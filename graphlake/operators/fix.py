@@ -105,3 +105,13 @@ def verified(before: DataFrame, after: DataFrame) -> DataFrame:
     """before, after: one row (score, issues) each. Verified if the score hasn't fallen and the issues haven't grown, all issues counted."""
     b, a = before.select(F.col("score").alias("score_before"), F.col("issues").alias("issues_before")), after.select(F.col("score").alias("score_after"), F.col("issues").alias("issues_after"))
     return b.join(a).withColumn("verified", (F.col("score_after") >= F.col("score_before")) & (F.col("issues_after") <= F.col("issues_before")))
+
+
+def pull_request(summary: DataFrame, edits: DataFrame) -> DataFrame:
+    """summary, as of ``verified``: one row -> (title, body) of a request to merge the edits; no row unless they are verified."""
+    per = by_fixer(edits).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fixer", "edits"))), lambda s: F.format_string("- `%s`: %d edit(s)", s["fixer"], s["edits"])), "\n").alias("changes"), F.coalesce(F.sum("edits"), F.lit(0)).alias("n"))
+    one = summary.filter("verified").join(per).join(edits.agg(F.count_distinct("file").alias("files")))  # each side is one row
+    gain = F.col("score_after") - F.col("score_before")
+    head = F.format_string("Health score: %s to %s. Files changed: %d. Edits: %d.", F.col("score_before").cast("string"), F.col("score_after").cast("string"), "files", "n")
+    check = F.format_string("Indexed again after the edits: issues %d before, %d after.", F.col("issues_before").cast("long"), F.col("issues_after").cast("long"))
+    return one.select(F.format_string("chore: apply safe fixes (+%s health)", gain.cast("string")).alias("title"), F.concat_ws("\n\n", head, "changes", check).alias("body"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlake.config import LIMITS
+from graphlake.functions.scalars import live_at
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -38,37 +40,75 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int = LIMITS.depth) -> Dat
     return reach(edges, seeds, depth, reverse=True)
 
 
-def neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 1, direction: str = "out", rels: list[str] | None = None, most: int = 256) -> DataFrame:
-    """(seed, node, hops, truncated): the subgraph's nodes with the seed, at most ``most`` by hops and name."""
-    kept = edges.filter(F.col("rel").isin(rels)) if rels else edges
+def live(rows: DataFrame, rels: list[str] | None = None, at: object = None) -> DataFrame:
+    """Rows of the given relations that are valid at a time; None asks for all."""
+    kept = rows.filter(F.col("rel").isin(rels)) if rels else rows
+    return kept if at is None else kept.filter(live_at(F.lit(at)))
+
+
+def incident(edges: DataFrame, ids: DataFrame, direction: str = "out", rels: list[str] | None = None, at: object = None) -> DataFrame:
+    """ids (id) -> (of, edge columns): the edges that leave ("out") or reach ("in") each of them."""
+    end = {"out": "src", "in": "dst"}[direction]
+    return live(edges, rels, at).join(ids.select(F.col("id").alias("of")).distinct(), F.col("of") == F.col(end)).select("of", *edges.columns)
+
+
+def neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 1, direction: str = "out", rels: list[str] | None = None, most: int = 256, nodes: DataFrame | None = None, at: object = None) -> DataFrame:
+    """(seed, node, hops, truncated): the subgraph's nodes with the seed, at most ``most`` by hops and name.
+
+    With nodes (node, valid_from, valid_to) only live ones are seeds or walked to; with ``at`` edges and nodes are those valid then.
+    """
+    kept = live(edges, rels, at)
     forth, back = kept.select("src", "dst"), kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     used = {"out": forth, "in": back, "both": forth.unionByName(back)}[direction]
+    if nodes is not None:
+        alive = live(nodes, at=at).select(F.col("node").alias("dst")).distinct()
+        used = used.join(alive, "dst", "left_semi")
+        seeds = seeds.join(alive, F.col("seed") == F.col("dst"), "left_semi")
     found = reach(used, seeds, depth).unionByName(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops")))
-    from pyspark.sql import Window
-
     n = F.count("*").over(Window.partitionBy("seed"))
     rank = F.row_number().over(Window.partitionBy("seed").orderBy("hops", "node"))
     return found.withColumn("truncated", n > most).withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
 
 
-def shortest_path(edges: DataFrame, src: object, dst: object, depth: int = LIMITS.path_depth) -> DataFrame:
-    """One row (path) with the nodes of a shortest directed path, the least predecessors on ties; no row if there is none within ``depth``."""
-    spark = edges.sparkSession
-    kind = edges.schema["src"].dataType.simpleString()
-    start = spark.createDataFrame([(src,)], f"node {kind}").withColumn("path", F.array("node"))
-    if src == dst:
-        return start.select("path")
-    seen, front = start.select("node"), start
+def walked_edges(edges: DataFrame, found: DataFrame, depth: int = 1, direction: str = "out", rels: list[str] | None = None, at: object = None) -> DataFrame:
+    """found, as of ``neighbours`` -> (seed, src, dst): the edges that were followed, those to nodes that were cut or are not live among them."""
+    kept, at_node = live(edges, rels, at).select("src", "dst"), found.filter(F.col("hops") < depth).select("seed", "node")
+    ends = {"out": ["src"], "in": ["dst"], "both": ["src", "dst"]}[direction]
+    parts = [at_node.join(kept, F.col("node") == F.col(end)).select("seed", "src", "dst") for end in ends]
+    return functools.reduce(DataFrame.unionByName, parts).distinct()
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = LIMITS.path_depth, rels: list[str] | None = None, nodes: DataFrame | None = None, at: object = None) -> DataFrame:
+    """pairs (src, dst) -> (src, dst, path): the nodes of a shortest directed path, the least predecessors on ties; no row if there is none within ``depth``.
+
+    All pairs advance together; a pair that has arrived is followed no further. ``rels``, ``nodes`` and ``at`` as in ``neighbours``.
+    """
+    step = live(edges, rels, at).select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    pairs = pairs.select("src", "dst").distinct()
+    if nodes is not None:
+        alive = live(nodes, at=at).select("node").distinct()
+        step = step.join(alive, F.col("b") == F.col("node"), "left_semi")
+        pairs = pairs.join(alive, F.col("src") == F.col("node"), "left_semi").join(alive, F.col("dst") == F.col("node"), "left_semi")
+    front = settled(pairs.select("src", "dst", F.col("src").alias("node"), F.array("src").alias("path")))
+    seen, found = front.select("src", "dst", "node"), front.filter("src = dst").select("src", "dst", "path")
+    front = front.filter("src <> dst")
     for _ in range(depth):
-        new = front.join(edges, front.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("path"))
-        front = settled(new.join(seen, "node", "left_anti").select("node", F.concat("path", F.array("node")).alias("path")))
-        hit = front.filter(F.col("node") == F.lit(dst))
-        if not hit.isEmpty():
-            return hit.select("path")
+        next_ = front.join(step, F.col("node") == F.col("a")).groupBy("src", "dst", F.col("b").alias("node")).agg(F.min("path").alias("path"))
+        new = settled(next_.join(seen, ["src", "dst", "node"], "left_anti").withColumn("path", F.concat("path", F.array("node"))))
+        hit = new.filter("node = dst")
+        found = found.unionByName(hit.select("src", "dst", "path"))
+        front = new.join(hit.select("src", "dst"), ["src", "dst"], "left_anti")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front.select("node"))
-    return front.limit(0).select("path")
+        seen = seen.unionByName(front.select("src", "dst", "node"))
+    return found
+
+
+def shortest_path(edges: DataFrame, src: object, dst: object, depth: int = LIMITS.path_depth) -> DataFrame:
+    """One row (path) for one pair; no row if there is none within ``depth``."""
+    kind = edges.schema["src"].dataType.simpleString()
+    pair = edges.sparkSession.createDataFrame([(src, dst)], f"src {kind}, dst {kind}")
+    return shortest_paths(edges, pair, depth).select("path")
 
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphlake.config import LIMITS
 from graphlake.functions import rules
 from graphlake.functions.scalars import clamp, js_round
+from graphlake.operators import graph
 
 
 def dimensions(spark: SparkSession) -> DataFrame:
@@ -79,6 +80,12 @@ def module_edges(links: DataFrame, files: DataFrame) -> DataFrame:
     return both.groupBy(F.col("a").alias("source"), F.col("b").alias("target")).agg(F.count("*").alias("weight"))
 
 
+def ordered_modules(mods: DataFrame, mod_edges: DataFrame) -> DataFrame:
+    """Modules with their tier, the lowest tier first and in it the most lines, the first seen on ties; modules without an edge are in tier 0."""
+    tier = graph.tiers(mod_edges.select(F.col("source").alias("src"), F.col("target").alias("dst"))).select(F.col("node").alias("module"), "tier")
+    return mods.join(tier, "module", "left").withColumn("tier", F.coalesce("tier", F.lit(0))).orderBy("tier", F.desc("loc"), "first")
+
+
 def viz_files(files: DataFrame, keep: int = LIMITS.viz_files) -> DataFrame:
     """The files that are shown: all, or the top by fan-in and size."""
     return files.orderBy(F.desc(F.col("fan_in") * 3 + F.col("loc") / 100), "ord").limit(keep)

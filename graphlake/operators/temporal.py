@@ -57,12 +57,16 @@ def _norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def semantic_search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int = 2000) -> DataFrame:
+def semantic_search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int = 2000, types: list[str] | None = None, at: object = None) -> DataFrame:
     """vectors (id, v), queries (query, q) -> (query, id, score, rank): the ``k`` likeliest by cosine for each query, by id on ties.
 
     Norms are taken once per row. A block of at most about ``block`` queries is broadcast at a time and stands against all vectors; each
-    partition keeps its own best before the rest is compared.
+    partition keeps its own best before the rest is compared. ``types`` and ``at`` keep vectors (.., type, valid_from, valid_to) of those types that are valid then.
     """
+    if types:
+        vectors = vectors.filter(F.col("type").isin(types))
+    if at is not None:
+        vectors = vectors.filter(live_at(F.lit(at)))
     blocks = max(1, -(-queries.count() // block))
     dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norms = F.col("nv") * F.col("nq")
