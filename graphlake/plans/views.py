@@ -87,21 +87,21 @@ def _dated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 AT, WALKED = 4, ["calls"]
 SQL_DATED = f"""{_sql_calls()}, ed AS (SELECT src, dst, src % 5 AS f, CASE WHEN dst % 3 = 0 THEN 6 END AS t FROM c WHERE (src + dst) % 4 <> 0), le AS (SELECT src, dst FROM ed WHERE f <= {AT} AND (t IS NULL OR t > {AT})),
 ln AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 8 <= {AT}), st AS (SELECT src, dst FROM le WHERE dst IN (SELECT node FROM ln)), sd AS (SELECT node AS seed FROM ln WHERE node % 100 = 0)"""
-SQL_WALK = f"{SQL_DATED}, r AS (SELECT seed, seed AS node, 0 AS hops FROM sd UNION SELECT seed, st.dst, hops + 1 FROM r JOIN st ON node = src WHERE hops < 2), q AS (SELECT seed, node, min(hops) AS hops FROM r GROUP BY ALL), k AS (SELECT *, count(*) OVER (PARTITION BY seed) > 20 AS truncated, row_number() OVER (PARTITION BY seed ORDER BY hops, node) AS n FROM q)"
+SQL_WALK = f"{SQL_DATED}, r AS (SELECT seed, seed AS node, 0 AS hops FROM sd UNION SELECT seed, st.dst, hops + 1 FROM r JOIN st ON node = src WHERE hops < 2), q AS (SELECT seed, node, min(hops) AS hops FROM r GROUP BY ALL), k AS (SELECT *, count(*) OVER (PARTITION BY seed) > 256 AS truncated, row_number() OVER (PARTITION BY seed ORDER BY hops, node) AS n FROM q)"
 
 
 def _walk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     edges, nodes = _dated(spark, sf_dir)
     seeds = nodes.filter("node % 100 = 0").select(F.col("node").alias("seed"))
-    return edges, graph.neighbours(edges, seeds, 2, rels=WALKED, most=20, nodes=nodes, at=AT)
+    return edges, graph.neighbours(edges, seeds, 2, rels=WALKED, nodes=nodes, at=AT)
 
 
-@of(f"WITH RECURSIVE {SQL_WALK} SELECT seed, node, CAST(hops AS INT) AS hops, truncated FROM k WHERE n <= 20")
+@of(f"WITH RECURSIVE {SQL_WALK} SELECT seed, node, CAST(hops AS INT) AS hops, truncated FROM k WHERE n <= 256")
 def neighbours_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walk(spark, sf_dir)[1]
 
 
-@of(f"WITH RECURSIVE {SQL_WALK} SELECT DISTINCT seed, src, dst FROM k JOIN le ON node = src WHERE n <= 20 AND hops < 2")
+@of(f"WITH RECURSIVE {SQL_WALK} SELECT DISTINCT seed, src, dst FROM k JOIN le ON node = src WHERE n <= 256 AND hops < 2")
 def walked_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, found = _walk(spark, sf_dir)
     return graph.walked_edges(edges, found, 2, rels=WALKED, at=AT)
