@@ -21,6 +21,9 @@ class Limits:
     search: int = 30
     find_hits: int = 200
     find_line: int = 240
+    block_lines: int = 800
+    doc_chars: int = 300
+    signature_chars: int = 120
 
 
 LIMITS = Limits()

@@ -68,6 +68,29 @@ ENTRY_POINTS = r"(?i)^(main|default|handler|index|render|app|page|route|get|post
 TEST_PATH = r"(?i)(\.|_|/)(test|spec)|(^|/)tests?/"
 TEST_FILE = r"(?i)(\.|_|/)(test|spec)\.|(^|/)tests?/"
 
+# How declarations, imports, comments, branches and calls look in a line of source text.
+SCRIPT_TYPE = r"^(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(class|interface)\s+([\w$]+)"
+SCRIPT_FUNCTION = r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([\w$]+)\s*(\([^)]*\))"
+SCRIPT_CONST = r"^(?:export\s+)?(?:default\s+)?const\s+([\w$]+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>|function)"
+SCRIPT_METHOD = r"^\s+(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*([\w$]+)\s*(\([^)]*\))\s*(?::[^={]+)?\{"
+SCRIPT_IMPORT = r"^import\s+(?:type\s+)?(?:([\w$]+)\s*,?\s*)?(?:\{([^}]*)\})?\s*(?:\*\s*as\s+([\w$]+))?\s*(?:from\s+)?[\"']([^\"']+)[\"']"
+PYTHON_CLASS = r"class\s+(\w+)"
+PYTHON_DEF = r"(\s*)(?:async\s+)?def\s+(\w+)\s*(\([^)]*\))"
+PYTHON_FROM = r"from\s+(\.*[\w.]*)\s+import\s+(.+)$"
+PYTHON_IMPORT = r"import\s+([\w.]+)(?:\s+as\s+(\w+))?"
+RENAMED = r"\s+as\s+"
+REMARK_STARTS = ("*", "/**", "//")
+REMARK_LEAD = r"^(/\*\*?|\*\s?|//\s?)"
+BRANCH = r"\b(?:if|for|while|do|catch|case)\b|&&|\|\||\?(?![.?])"
+CALLED = r"([A-Za-z_$][\w$]*)\s*\("
+NO_METHODS = {"if", "for", "while", "switch", "catch", "return", "function", "await", "typeof", "super", "new", "in", "of"}
+
+# Statements that fixers take out or look at.
+SCRIPT_DEBUG = r"^console\.(log|debug|info)\(.*\)\s*;?\s*$"
+SCRIPT_DEBUGGER = r"^debugger\s*;?\s*$"
+PYTHON_PRINT = r"^print\(.*\)\s*$"
+PYTHON_OPENER = r"^(async\s+)?(if|elif|else|for|while|try|except|finally|with|def|class)\b.*:\s*(#.*)?$"
+
 
 def tags(name: Column, signature: Column, doc: Column) -> Column:
     """The concepts of a symbol, in their fixed order."""

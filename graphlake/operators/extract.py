@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import heapq
 import re
 from collections.abc import Callable, Iterator
 
@@ -13,13 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from graphlake.functions.rules import SCRIPTS
+from graphlake.config import LIMITS
+from graphlake.functions import rules
 
 SYMBOLS = "array<struct<name:string,kind:string,line:int,end_line:int,signature:string,doc:string,exported:boolean,container:string,complexity:int>>"
 REFS = "array<struct<name:string,line:int>>"
 IMPORTS = "array<struct<local:string,imported:string,path:string>>"
-#: Words that look like method names and are none.
-NO_METHODS = {"if", "for", "while", "switch", "catch", "return", "function", "await", "typeof", "super", "new", "in", "of"}
 
 Extractor = Callable[[str], tuple[list[dict], list[dict]]]
 _registry: dict[str, Extractor] = {}
@@ -31,112 +31,148 @@ def register(extensions: list[str], extractor: Extractor) -> None:
         _registry.setdefault(e, extractor)
 
 
-def _comment(line: str, script: bool) -> str | None:
+def _remark(line: str, script: bool) -> str | None:
     """What a comment line says; None if it is code."""
     t = line.strip()
-    if script:
-        if not (t.endswith("*/") or t.startswith(("*", "/**", "//"))):
-            return None
-        return re.sub(r"^(/\*\*?|\*\s?|//\s?)", "", re.sub(r"\*/$", "", t)).strip()
-    return t[1:].removeprefix(" ") if t.startswith("#") else None
+    if not script:
+        return t[1:].removeprefix(" ") if t.startswith("#") else None
+    if t.startswith(rules.REMARK_STARTS) or t.endswith("*/"):
+        return re.sub(rules.REMARK_LEAD, "", t.removesuffix("*/")).strip()
+    return None
 
 
-def doc_above(lines: list[str], at: int, script: bool) -> str | None:
+def _remarks(lines: list[str], script: bool) -> Iterator[Callable[[], str | None]]:
+    """For each line, a function that gives the text of the comment that ends right above it: the comment lines since the last line of code, or since the last that opens a block comment."""
     said: list[str] = []
-    while at > 0 and (words := _comment(lines[at - 1], script)) is not None:
-        at -= 1
-        said.append(words)
-        if script and lines[at].strip().startswith("/**"):
-            break
-    doc = " ".join(s for s in reversed(said) if s).strip()
-    return doc[:300] if len(doc) > 2 else None
-
-
-def brace_end(lines: list[str], at: int, most: int = 800) -> int:
-    depth, opened = 0, False
-    for i, line in enumerate(lines[at : at + most], at):
-        opened |= "{" in line
+
+    def text() -> str | None:
+        doc = " ".join(filter(None, said)).strip()
+        return doc[: LIMITS.doc_chars] if len(doc) > 2 else None
+
+    for line in lines:
+        yield text
+        words = _remark(line, script)
+        if words is None or (script and line.strip().startswith("/**")):
+            said.clear()
+        if words is not None:
+            said.append(words)
+
+
+def brace_ends(lines: list[str]) -> list[int]:
+    """The last line (from 1) of the braces that open at or after each line, for all lines in one pass: a line waits until a brace opens, then until the depth is back at what it was before the line. Without an end within ``block_lines`` it is the line itself."""
+    ends, depth = list(range(1, len(lines) + 1)), 0
+    unopened: list[tuple[int, int]] = []
+    opened: list[tuple[int, int]] = []  # a heap, the deepest first
+    for i, line in enumerate(lines):
+        unopened.append((-depth, i))
+        if "{" in line:
+            for start in unopened:
+                heapq.heappush(opened, start)
+            unopened.clear()
         depth += line.count("{") - line.count("}")
-        if opened and depth <= 0:
-            return i + 1
-    return min(len(lines), at + 1)
+        while opened and -opened[0][0] >= depth:
+            _, start = heapq.heappop(opened)
+            if i - start < LIMITS.block_lines:
+                ends[start] = i + 1
+    return ends
+
+
+def indent_ends(lines: list[str]) -> list[int]:
+    """The last line (from 1) before each line's indentation is met again, for all lines in one pass."""
+    ends, around = [len(lines)] * len(lines), []
+    for i, line in enumerate(lines):
+        if not line.strip():
+            continue
+        width = len(line) - len(line.lstrip())
+        while around and around[-1][0] >= width:
+            ends[around.pop()[1]] = i
+        around.append((width, i))
+    return ends
+
 
+def complexity(body: str) -> int:
+    """1 and one for each branch: if, for, while, do, catch, case, ?:, && and ||. Strings and comments are not told apart."""
+    return 1 + len(re.findall(rules.BRANCH, body))
 
-def _indent(line: str) -> int:
-    return len(line) - len(line.lstrip())
 
+def _symbol(name: str, kind: str, line: int, end: int, signature: str, doc: str | None, exported: bool, container: str | None, branches: int | None = None) -> dict:
+    return {
+        "name": name, "kind": kind, "line": line, "end_line": end, "signature": signature,
+        "doc": doc, "exported": exported, "container": container, "complexity": branches,
+    }
 
-def indent_end(lines: list[str], at: int) -> int:
-    own = _indent(lines[at])
-    return next((i for i in range(at + 1, len(lines)) if lines[i].strip() and _indent(lines[i]) <= own), len(lines))
 
+def _listed(names: str) -> list[tuple[str, str]]:
+    """(imported, local) of a list of names with or without other names for them; a star is none."""
+    parts = [re.split(rules.RENAMED, x.strip()) for x in names.split(",") if x.strip()]
+    return [(p[0], p[-1]) for p in parts if p != ["*"]]
 
-def complexity(body: str) -> int:
-    """1 and one for each branch: if, for, while, do, catch, case, ?:, && and ||. Strings and comments are not told apart."""
-    return 1 + len(re.findall(r"\b(?:if|for|while|do|catch|case)\b|&&|\|\||\?(?![.?])", body))
+
+def _bound(path: str, *pairs: tuple[str, str | None]) -> list[dict]:
+    return [{"local": local, "imported": imported, "path": path} for imported, local in pairs if local]
+
+
+def _script_declaration(raw: str, react: bool, in_class: bool) -> tuple[str, str, str] | None:
+    """(kind, name, signature) of what a line declares."""
+    t = raw.strip()
+    if m := re.match(rules.SCRIPT_TYPE, t):
+        return m[1], m[2], re.sub(r"\s*\{.*$", "", t)
+    if m := re.match(rules.SCRIPT_FUNCTION, t):
+        return "function", m[1], f"function {m[1]}{m[2]}"
+    if m := re.match(rules.SCRIPT_CONST, t):
+        return "component" if react and m[1][0].isupper() else "function", m[1], re.sub(r"\s*=>.*$", " =>", t)[: LIMITS.signature_chars]
+    if in_class and (m := re.match(rules.SCRIPT_METHOD, raw)) and m[1] not in rules.NO_METHODS:
+        return "method", m[1], m[1] + m[2]
+    return None
 
 
 def scripts(text: str) -> tuple[list[dict], list[dict]]:
-    lines, out = text.split("\n"), []
-    inside: tuple[str, int] | None = None
-    lead = r"^(?:export\s+)?(?:default\s+)?"
-    for i, raw in enumerate(lines):
+    """Symbols and imports of a script: a class holds what lies before its end, the latest one counts."""
+    lines, out, imports = text.split("\n"), [], []
+    ends, react = brace_ends(lines), "react" in text
+    owner, until = None, 0
+    for n, (raw, doc) in enumerate(zip(lines, _remarks(lines, True), strict=True), 1):
         t = raw.strip()
-        if inside and i + 1 > inside[1]:
-            inside = None
-        found = None
-        if m := re.match(lead + r"(?:abstract\s+)?(class|interface)\s+([\w$]+)", t):
-            found = (m[2], m[1], re.sub(r"\s*\{.*$", "", t))
-        elif m := re.match(lead + r"(?:async\s+)?function\s*\*?\s*([\w$]+)\s*(\([^)]*\))", t):
-            found = (m[1], "function", f"function {m[1]}{m[2]}")
-        elif m := re.match(lead + r"const\s+([\w$]+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>|function)", t):
-            found = (m[1], "component" if m[1][0].isupper() and "react" in text else "function", re.sub(r"\s*=>.*$", " =>", t)[:120])
-        elif inside and (m := re.match(r"^\s+(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*([\w$]+)\s*(\([^)]*\))\s*(?::[^={]+)?\{", raw)) and m[1] not in NO_METHODS:
-            found = (m[1], "method", m[1] + m[2])
-        if found:
-            name, kind, signature = found
-            end = brace_end(lines, i)
-            method = kind == "method"
-            out.append({"name": name, "kind": kind, "line": i + 1, "end_line": end, "signature": signature, "doc": doc_above(lines, i, True), "exported": method or t.startswith("export"), "container": inside[0] if method and inside else None, "complexity": complexity("\n".join(lines[i:end])) if kind in ("function", "method", "component") else None})
+        if found := _script_declaration(raw, react, n <= until):
+            kind, name, signature = found
+            end, method = ends[n - 1], kind == "method"
+            branches = None if kind in ("class", "interface") else complexity("\n".join(lines[n - 1 : end]))
+            out.append(_symbol(name, kind, n, end, signature, doc(), method or t.startswith("export"), owner if method else None, branches))
             if kind == "class":
-                inside = (name, end)
-    imports = []
-    for t in (x.strip() for x in lines):
-        m = re.match(r"^import\s+(?:type\s+)?(?:([\w$]+)\s*,?\s*)?(?:\{([^}]*)\})?\s*(?:\*\s*as\s+([\w$]+))?\s*(?:from\s+)?[\"']([^\"']+)[\"']", t)
-        if m:
-            imports += [{"local": m[1], "imported": "default", "path": m[4]}] * bool(m[1]) + [{"local": m[3], "imported": "*", "path": m[4]}] * bool(m[3])
-            imports += [{"local": p[-1], "imported": p[0], "path": m[4]} for p in (re.split(r"\s+as\s+", x.strip()) for x in (m[2] or "").split(",") if x.strip())]
+                owner, until = name, end
+        if m := re.match(rules.SCRIPT_IMPORT, t):
+            imports += _bound(m[4], ("default", m[1]), ("*", m[3]), *_listed(m[2] or ""))
     return out, imports
 
 
 def python(text: str) -> tuple[list[dict], list[dict]]:
+    """Symbols and imports of a Python module, by its lines."""
     lines, out, imports = text.split("\n"), [], []
-    inside: tuple[str, int] | None = None
-    for i, raw in enumerate(lines):
-        t = raw.strip()
-        if inside and i >= inside[1]:
-            inside = None
-        base = {"line": i + 1, "complexity": None}
-        if m := re.match(r"class\s+(\w+)", t):
-            inside = (m[1], indent_end(lines, i))
-            out.append(base | {"name": m[1], "kind": "class", "end_line": inside[1], "signature": t.removesuffix(":"), "doc": doc_above(lines, i, False), "exported": not m[1].startswith("_"), "container": None})
-        elif m := re.match(r"(\s*)(?:async\s+)?def\s+(\w+)\s*(\([^)]*\))", raw):
-            method = bool(m[1]) and inside is not None
-            out.append(base | {"name": m[2], "kind": "method" if method else "function", "end_line": indent_end(lines, i), "signature": f"def {m[2]}{m[3]}", "doc": doc_above(lines, i, False), "exported": not m[2].startswith("_"), "container": inside[0] if method and inside else None})
-        if m := re.match(r"from\s+(\.*[\w.]*)\s+import\s+(.+)$", t):
-            imports += [{"local": p[-1], "imported": p[0], "path": m[1]} for p in (re.split(r"\s+as\s+", x.strip()) for x in m[2].split(",") if x.strip() not in ("", "*"))]
-        elif m := re.match(r"import\s+([\w.]+)(?:\s+as\s+(\w+))?", t):
-            imports.append({"local": m[2] or m[1].split(".")[0], "imported": "*", "path": m[1]})
+    ends = indent_ends(lines)
+    owner, until = None, 0
+    for n, (raw, doc) in enumerate(zip(lines, _remarks(lines, False), strict=True), 1):
+        t, end = raw.strip(), ends[n - 1]
+        if m := re.match(rules.PYTHON_CLASS, t):
+            owner, until = m[1], end
+            out.append(_symbol(m[1], "class", n, end, t.removesuffix(":"), doc(), not m[1].startswith("_"), None))
+        elif m := re.match(rules.PYTHON_DEF, raw):
+            within = owner if m[1] and n <= until else None
+            out.append(_symbol(m[2], "method" if within else "function", n, end, f"def {m[2]}{m[3]}", doc(), not m[2].startswith("_"), within))
+        if m := re.match(rules.PYTHON_FROM, t):
+            imports += _bound(m[1], *_listed(m[2]))
+        elif m := re.match(rules.PYTHON_IMPORT, t):
+            imports += _bound(m[1], ("*", m[2] or m[1].split(".")[0]))
     return out, imports
 
 
-register(SCRIPTS, scripts)
+register(rules.SCRIPTS, scripts)
 register([".py"], python)
 
 
 def references(text: str) -> list[dict]:
     """Every name of two letters or more before a parenthesis, definitions included."""
-    return [{"name": m[1], "line": i + 1} for i, line in enumerate(text.split("\n")) for m in re.finditer(r"([A-Za-z_$][\w$]*)\s*\(", line) if len(m[1]) >= 2]
+    lines = enumerate(text.split("\n"), 1)
+    return [{"name": m[1], "line": n} for n, line in lines for m in re.finditer(rules.CALLED, line) if len(m[1]) >= 2]
 
 
 def extracted(files: DataFrame) -> DataFrame:

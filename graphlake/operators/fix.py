@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphlake.functions import rules
 
 EDIT = "file string, line int, before string, after string, fixer string"
-OPENER = re.compile(r"^(async\s+)?(if|elif|else|for|while|try|except|finally|with|def|class)\b.*:\s*(#.*)?$")
+OPENER = re.compile(rules.PYTHON_OPENER)
 
 
 def _extension():  # noqa: ANN202
@@ -25,14 +25,14 @@ def _edit(df: DataFrame, fixer: str, after=None) -> DataFrame:  # noqa: ANN001
 def debug_output(lines: DataFrame) -> DataFrame:
     """Whole-line debug statements go. A Python block keeps its last statement if all of them would go, so its file's lines are looked at together."""
     t = F.trim("text")
-    script = _extension().isin(rules.SCRIPTS) & (t.rlike(r"^console\.(log|debug|info)\(.*\)\s*;?\s*$") | t.rlike(r"^debugger\s*;?\s*$"))
+    script = _extension().isin(rules.SCRIPTS) & (t.rlike(rules.SCRIPT_DEBUG) | t.rlike(rules.SCRIPT_DEBUGGER))
     own = _edit(lines.filter(script), "remove-debug-output")
     py = lines.filter(_extension() == ".py")
-    printing = py.filter(t.rlike(r"^print\(.*\)\s*$")).select("file").distinct()
+    printing = py.filter(t.rlike(rules.PYTHON_PRINT)).select("file").distinct()
 
     def blocks(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values("line")["text"].tolist()
-        gone = {i for i, x in enumerate(rows) if re.match(r"^print\(.*\)\s*$", x.strip())}
+        gone = {i for i, x in enumerate(rows) if re.match(rules.PYTHON_PRINT, x.strip())}
         indent = [len(x) - len(x.lstrip()) for x in rows]
         for i, x in enumerate(rows):
             if OPENER.match(x.strip()):
