@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,16 +97,34 @@ def tests(issues: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return own.unionByName(new).orderBy("ord").limit(15)
 
 
-SPECIALISTS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = dict(zip(AGENTS, (security, performance, refactor, deadcode, dependency, architecture, tests), strict=True))
+Specialist = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
+SPECIALISTS: dict[str, Specialist] = dict(zip(AGENTS, (security, performance, refactor, deadcode, dependency, architecture, tests), strict=True))
 
 
-def findings(issues: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """All specialists' findings, in their fixed order: ord is an order of agents, then of each one's own."""
-    out = None
-    for k, (_, run) in enumerate(SPECIALISTS.items()):
-        part = run(issues, symbols, edges).withColumn("agent_ord", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    return out
+def findings(issues: DataFrame, symbols: DataFrame, edges: DataFrame, specialists: dict[str, Specialist] | None = None) -> DataFrame:
+    """All specialists' findings, in their fixed order: ord is an order of agents, then of each one's own. A specialist whose plan can't be made is named in a warning and finds nothing; the others go on."""
+    found = []
+    for k, (name, run) in enumerate((specialists or SPECIALISTS).items()):
+        try:
+            found.append(run(issues, symbols, edges).withColumn("agent_ord", F.lit(k)))
+        except Exception as e:  # noqa: BLE001
+            warnings.warn(f"specialist {name} failed: {e}", stacklevel=2)
+    if not found:
+        raise ValueError("no specialist could be run")
+    return reduce(DataFrame.unionByName, found)
+
+
+#: What a finding of the other specialists calls for, as a key.
+ADVICE = {"performance": "cache", "refactor": "split", "deadcode": "remove", "architecture": "invert", "test": "cover"}
+
+
+def advised(found: DataFrame) -> DataFrame:
+    """Findings with ``advice``, the key of the remedy: by title for security and dependencies, else by specialist."""
+    agent, title = F.col("agent"), F.col("title")
+    advice = F.when(agent == "security", security_advice(title)).when(agent == "dependency", dependency_advice(title))
+    for name, key in ADVICE.items():
+        advice = advice.when(agent == name, key)
+    return found.withColumn("advice", advice)
 
 
 def critic(found: DataFrame, gap: int = 2, gain: float = 0.15) -> DataFrame:

@@ -247,8 +247,45 @@ def change_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.change_report(_facts(spark, sf_dir)[0], _changed(spark, sf_dir), 2.0)
 
 
+# Titles of the dependency rules' kinds, for the query below.
+DEPENDENCY_TITLES = ["Unpinned dependency: a", "No lockfile", "Pre-1.0 dependency: b", "Deprecated: c"]
 
-@of("SELECT title, CASE " + " ".join(f"WHEN contains(lower(title), '{w}') THEN '{k}'" for w, k in (("eval", "eval"), ("secret", "secret"), ("sql", "sql"), ("html", "html"), ("shell", "process"), ("process", "process"))) + " ELSE 'review' END AS advice FROM (VALUES " + ", ".join(f"('{r[0]}')" for r in rules.LINE_RULES) + ") v(title)")
-def security_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = spark.createDataFrame([(r[0],) for r in rules.LINE_RULES], "title string")
-    return titles.select("title", swarm.security_advice(F.col("title")).alias("advice"))
+
+def _sql_advice() -> str:
+    titles = [("security", r[0]) for r in rules.LINE_RULES] + [("dependency", t) for t in DEPENDENCY_TITLES]
+    titles += [(a, "t") for a in swarm.AGENTS if a not in ("security", "dependency")]
+    rows = ", ".join(f"('{a}', '{t}')" for a, t in titles)
+    case = lambda pairs: "CASE " + " ".join(f"WHEN contains(lower(title), '{w}') THEN '{k}'" for w, k in pairs) + " ELSE 'review' END"
+    security = case([("eval", "eval"), ("secret", "secret"), ("sql", "sql"), ("html", "html"), ("shell", "process"), ("process", "process")])
+    dependency = case([("unpinned", "pin"), ("lockfile", "lock"), ("pre-1.0", "pin-tightly")])
+    other = "CASE agent WHEN 'performance' THEN 'cache' WHEN 'refactor' THEN 'split' WHEN 'deadcode' THEN 'remove' WHEN 'architecture' THEN 'invert' ELSE 'cover' END"
+    return f"SELECT agent, title, CASE agent WHEN 'security' THEN {security} WHEN 'dependency' THEN {dependency} ELSE {other} END AS advice FROM (VALUES {rows}) v(agent, title)"
+
+
+@of(_sql_advice())
+def finding_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = [("security", r[0]) for r in rules.LINE_RULES] + [("dependency", t) for t in DEPENDENCY_TITLES]
+    titles += [(a, "t") for a in swarm.AGENTS if a not in ("security", "dependency")]
+    return swarm.advised(spark.createDataFrame(titles, "agent string, title string"))
+
+
+@of("SELECT 'v' || (p_partkey % 7) AS source, p_size % 5 AS size, 'v' || (p_partkey % 7) || '@' || CASE WHEN p_size % 5 = 0 THEN '-' ELSE CAST(p_size % 5 AS VARCHAR) END || ':-' AS root FROM part GROUP BY ALL")
+def provenance_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct roots: content-addressed runs of the same source and model are one node."""
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("v"), (F.col("p_partkey") % 7).cast("string")).alias("source"), (F.col("p_size") % 5).cast("int").alias("size"))
+    model = F.when(F.col("size") != 0, F.col("size").cast("string"))
+    nodes = temporal.execution_nodes(p, "source", "size")
+    return nodes.select("source", "size", temporal.provenance_root(F.col("source"), model, F.lit(None).cast("string")).alias("root"))
+
+
+@of("""SELECT 'p' || l_partkey || '.py' AS file, 'c' || o_custkey || '@x' AS email, 'n' || o_custkey AS name, count(*) AS commits
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_partkey % 100 = 0 GROUP BY ALL""")
+def file_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who owns each part whose id is divisible by 100."""
+    asked = table(spark, sf_dir, "part").filter("p_partkey % 100 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file"))
+    return src.who_owns(ownership(spark, sf_dir), asked)
+
+
+@of("SELECT 'FEATURE_INTRODUCED' AS category, '' AS subject, count(*) AS n FROM part")
+def first_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.baseline(table(spark, sf_dir, "part"))
