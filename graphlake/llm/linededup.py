@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphlake.llm.common import stage, unused
+from graphlake.llm.common import released, stage, unused
 
 BLANK = b" \t\n\x0b\x0c\r"
 SLOTS = 4  # per bucket
@@ -111,6 +111,7 @@ class CuckooFilter:
 def line_keys(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(key): for each document each of its distinct keys once."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys: list[bytes] = []
@@ -245,6 +246,7 @@ class LineIndex:
         marks = [F.xxhash64(F.lit(k), F.col(text_col)) for k in (0, 1)]  # two hashes of 64 bits name a text
         shards = self.shards
 
+        @released
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for t, t0, t1 in zip(*(b.column(k) for k in range(3)), strict=True):
@@ -260,6 +262,7 @@ class LineIndex:
         none = F.lit(0).cast("long")
         lead = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), none.alias("t0"), none.alias("t1"), F.lit(0).alias("line"), "data")
 
+        @released
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, own = None, None
             for b in batches:
@@ -284,6 +287,7 @@ def _dropped(docs: DataFrame, text_col: str, n_dropped: str, shared) -> DataFram
     names = docs.columns
     at, at_n = names.index(text_col), names.index(n_dropped)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _Lookup(*shared.value)
         for b in batches:

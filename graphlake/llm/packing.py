@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import stage
+from graphlake.llm.common import released, stage
 from graphlake.llm.tokens import chunks, vocabulary
 
 CAPACITY = 2048
@@ -28,6 +28,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     """
     path, end = vocabulary(vocab), int(end_id).to_bytes(4, "little")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunks(path)
         for b in batches:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm.common import few_rows, stage
+from graphlake.llm.common import few_rows, released, stage
 from graphlake.llm.components import components
 
 CROWDED = 1 << 15  # visits of a grid point that one task handles, at most
@@ -46,6 +46,7 @@ def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, *more: Column) -> DataFrame:
     """(id, fp) and the long columns ``more``: fp is the fingerprint's 64 bits as a signed long."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), size) for t in b.column(1)), np.uint64, b.num_rows)
@@ -154,6 +155,7 @@ def _matched(visits: DataFrame, distance: int, segments: int) -> DataFrame:
     reach = -(-distance // 2)
     base = 64 // segments + 2 * reach + 1
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, at, held = Forest(), None, []
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphlake.llm.common import unused
+from graphlake.llm.common import released, unused
 
 WINDOW, STEP = 256, 128
 MARGIN = 3  # bytes by which a window counts as toxic
@@ -156,6 +156,7 @@ def ordinary(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 def _with_score(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
     names, at = [*docs.columns, name], docs.columns.index(text_col)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for b in batches:
