@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm import chat, covertree, license_scan, linededup, mixing, packing, simhash, syncmer, toxicity, warc
+from graphlake.llm import alignment, centroids, chat, covertree, forest, license_scan, linededup, mixing, packing, simhash, syncmer, toxicity, warc
 from graphlake.llm.common import read
 
 
@@ -56,9 +56,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "place")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return forest.neighbours(rows, rows.filter(F.col("vec_id") % 50 == 0)).withColumnRenamed("id", "vec_id")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_cover_tree": op1_cover_tree, "op2_license_scan": op2_license_scan, "op3_preferences": op3_preferences, "op4_syncmers": op4_syncmers, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
+    return {"op1_cover_tree": op1_cover_tree, "op2_license_scan": op2_license_scan, "op3_preferences": op3_preferences, "op4_syncmers": op4_syncmers, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash, "op10_warc": op10_warc, "op11_centroids": op11_centroids, "op12_forest": op12_forest, "op13_alignment": op13_alignment}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_cover_tree": covertree.ORACLE, "op2_license_scan": license_scan.ORACLE, "op3_preferences": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op8_line_dedup": linededup.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op1_cover_tree": covertree.ORACLE, "op2_license_scan": license_scan.ORACLE, "op3_preferences": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op8_line_dedup": linededup.ORACLE, "op10_warc": warc.ORACLE, "op11_centroids": centroids.ORACLE}
