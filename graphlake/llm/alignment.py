@@ -9,55 +9,93 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import os
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlake.llm.common import released, stage, unstage
 from graphlake.llm.tokens import _byte_letters
 
-SLICE = 2 << 20  # bytes of text at once, or one text
+SLICE = 1 << 19  # bytes of text at once, or one text
 FREQUENT = 2_000_000  # pairs with their counts that every task holds, at most, some 26 MB
 MARKS = np.frombuffer(b",|;", np.uint8)
+#: Fixed value: the pattern by which byte-level vocabularies of this kind split texts.
+BYTE_CHUNK = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+#: What every version of Unicode tells apart alike; texts with other characters go through the vocabulary's own library.
+CERTAIN = regex.compile(r"[\t\n\x0B\x0C\r -~\xA1-\xAC\xAE-\u024F]*")
+
+
+def _byte_side(path: str) -> tuple[Callable[[list[str]], list[np.ndarray]], list[bytes]]:
+    """(encode, bytes by id) of a byte-level BPE file.
+
+    If its merges stand in the order of their ids, as they do where ids were given out while merging, the same ids come several times faster out of a merger by ranks.
+    """
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    byte = {c: i for i, c in enumerate(_byte_letters())}
+    data = [b""] * (1 + max(own.get_vocab().values()))
+    for token, i in own.get_vocab().items():
+        data[i] = bytes([byte[c] for c in token]) if all(c in byte for c in token) else token.encode()
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get("".join(m), -1) for m in merges]
+    ranked = all(x < y for x, y in zip(made, made[1:], strict=False)) and not model.get("ignore_merges")
+    by_rank = tiktoken.Encoding("ranks", pat_str=BYTE_CHUNK, mergeable_ranks={data[i]: i for i in model["vocab"].values() if i <= max(made, default=0)}, special_tokens={}) if ranked and made else None
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for t in texts:
+            if by_rank and CERTAIN.fullmatch(t):
+                out.append(by_rank.encode_to_numpy(t, disallowed_special=()))
+            else:
+                out.append(np.array(own.encode(t, add_special_tokens=False).ids, np.uint32))
+        return out
+
+    return encode, data
+
+
+def _piece_side(path: str) -> tuple[Callable[[list[str]], list[np.ndarray]], list[bytes]]:
+    """(encode, bytes by id) of a piece model that puts a space in front by itself."""
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    names = [own.id_to_piece(i) for i in range(own.get_piece_size())]
+    data = [bytes([int(p[3:5], 16)]) if own.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+    return (lambda texts: [np.array(ids, np.uint32) for ids in own.encode([t[1:] for t in texts], num_threads=1)]), data
 
 
 class Sides:
-    """Both tokenizers, and the bytes of their tokens."""
+    """Both tokenizers, the bytes of their ids, and the decimal digits of all ids."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        byte = {c: i for i, c in enumerate(_byte_letters())}
-        self.a_bytes = [b""] * (1 + max(self.a.get_vocab().values()))
-        for token, i in self.a.get_vocab().items():
-            self.a_bytes[i] = bytes([byte[c] for c in token]) if all(c in byte for c in token) else token.encode()
-        pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
-        self.a_size, self.b_size = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-        most = max(len(self.a_bytes), len(self.b_bytes))
-        digits = [str(i).encode() for i in range(most)]
+        self.a, self.a_data = _byte_side(a_path)
+        self.b, self.b_data = _piece_side(b_path)
+        self.a_size, self.b_size = (np.array([len(t) for t in data], np.int64) for data in (self.a_data, self.b_data))
+        digits = [str(i).encode() for i in range(max(len(self.a_data), len(self.b_data)))]
+        wide = len(digits[-1])
         self.n_digits = np.array([len(d) for d in digits])
-        self.digits = np.frombuffer(b"".join(d.ljust(len(digits[-1])) for d in digits), np.uint8).reshape(most, -1)
+        # A column for the mark that follows.
+        self.digits = np.frombuffer(b"".join(d.ljust(wide + 1) for d in digits), np.uint8).reshape(-1, wide + 1)
+        self.used = (np.arange(wide + 1) < self.n_digits[:, None]) | (np.arange(wide + 1) == wide)
 
     def cut(self, texts: list[str | None]) -> Cut:
         """The tokens of texts, where both sides join to a space and the text."""
         some = [i for i, t in enumerate(texts) if t]
-        a = [e.ids for e in self.a.encode_batch_fast([" " + texts[i] for i in some], add_special_tokens=False)]
-        b = self.b.encode([texts[i] for i in some], num_threads=1)
-        a_bytes, b_bytes, good = self.a_bytes, self.b_bytes, []
-        for n, i in enumerate(some):
-            whole = b" " + texts[i].encode()
-            if b"".join([a_bytes[t] for t in a[n]]) == whole == b"".join([b_bytes[t] for t in b[n]]):
-                good.append(n)
+        spaced = [" " + texts[i] for i in some]
+        a, b = self.a(spaced), self.b(spaced)
+        joined = lambda data, ids: b"".join([data[i] for i in ids.tolist()])
+        good = [n for n, t in enumerate(spaced) if joined(self.a_data, a[n]) == t.encode() == joined(self.b_data, b[n])]
         return Cut(self, len(texts), [some[n] for n in good], [a[n] for n in good], [b[n] for n in good])
 
 
@@ -67,16 +105,17 @@ def _counted(bounds: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 
 class Cut:
-    """The alignment of a slice of texts, those at ``own`` of ``n``."""
+    """The alignment of a slice of texts, those at ``own`` of ``n``, from their ids on either side."""
 
-    def __init__(self, sides: Sides, n: int, own: list[int], a: list[list[int]], b: list[list[int]]) -> None:
+    def __init__(self, sides: Sides, n: int, own: list[int], a: list[np.ndarray], b: list[np.ndarray]) -> None:
         self.sides, self.n, self.own = sides, n, np.array(own, np.int64)
-        self.a, self.b = (np.fromiter((t for ids in side for t in ids), np.int64) for side in (a, b))
+        self.a, self.b = (np.concatenate(ids) if ids else np.zeros(0, np.uint32) for ids in (a, b))
         self.a_ends, self.b_ends = sides.a_size[self.a].cumsum(), sides.b_size[self.b].cumsum()
         self.bounds = self.a_ends[np.cumsum([len(ids) for ids in a]) - 1] if own else np.zeros(0, np.int64)
         self.ends = np.union1d(self.a_ends, self.b_ends)
         self.of_a, self.of_b = np.searchsorted(self.a_ends, self.ends), np.searchsorted(self.b_ends, self.ends)
-        self.closed = np.intersect1d(self.a_ends, self.b_ends, assume_unique=True)
+        self.shared = (self.a_ends[self.of_a] == self.ends) & (self.b_ends[self.of_b] == self.ends)
+        self.closed = self.ends[self.shared]
 
     def _told(self, counts: np.ndarray) -> np.ndarray:
         """A number for each text, 0 for those without tokens."""
@@ -92,29 +131,27 @@ class Cut:
         out = [b""] * self.n
         if len(self.own):
             s, n_a, n_b = self.sides, len(self.a), len(self.b)
-            in_a, in_b = np.searchsorted(self.closed, self.a_ends), np.searchsorted(self.closed, self.b_ends)
-            # In a group A's tokens come first: before one stand the B tokens of earlier groups, before one of B's the A tokens of its group too.
-            place_a = np.arange(n_a) + np.searchsorted(in_b, in_a)
-            place_b = np.arange(n_b) + np.searchsorted(in_a, in_b, "right")
+            # How many tokens either side has up to the end of each group: A's of a group come before B's.
+            to_a, to_b = self.of_a[self.shared] + 1, self.of_b[self.shared] + 1
+            place_a = np.arange(n_a) + np.repeat(np.r_[0, to_b[:-1]], np.diff(to_a, prepend=0))
+            place_b = np.arange(n_b) + np.repeat(to_a, np.diff(to_b, prepend=0))
             ids, mark = np.empty(n_a + n_b, np.int64), np.zeros(n_a + n_b, np.int64)
             ids[place_a], ids[place_b] = self.a, self.b
-            mark[place_a[np.searchsorted(self.a_ends, self.closed)]] = 1
-            mark[place_b[np.searchsorted(self.b_ends, self.closed)]] = 2
-            wide = s.digits.shape[1]
-            letters = np.empty((len(ids), wide + 1), np.uint8)
-            letters[:, :wide], letters[:, wide] = s.digits[ids], MARKS[mark]
-            used = np.arange(wide) < s.n_digits[ids][:, None]
-            flat = letters[np.concatenate([used, np.ones((len(ids), 1), bool)], 1)].tobytes()
-            stops = (s.n_digits[ids] + 1).cumsum()[place_b[np.searchsorted(self.b_ends, self.bounds)]].tolist()
+            mark[place_a[to_a - 1]], mark[place_b[to_b - 1]] = 1, 2
+            letters = s.digits[ids]
+            letters[:, -1] = MARKS[mark]
+            flat = letters[s.used[ids]].tobytes()
+            stops = (s.n_digits[ids] + 1).cumsum()[place_b[self.of_b[np.searchsorted(self.ends, self.bounds)]]].tolist()
             for i, lo, hi in zip(self.own.tolist(), [0, *stops[:-1]], stops, strict=True):
                 out[i] = flat[lo : hi - 1]
         return out
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, pair, times): each text's distinct pairs a * |B| + b and how often it holds each; ``first``: where each text's begin, and the end."""
-        width = len(self.sides.a_bytes) * len(self.sides.b_bytes)
+        n_b = len(self.sides.b_data)
+        width = len(self.sides.a_data) * n_b
         row = np.searchsorted(self.bounds, self.ends)
-        keys, times = np.unique(row * width + self.a[self.of_a] * len(self.sides.b_bytes) + self.b[self.of_b], return_counts=True)
+        keys, times = np.unique(row * width + self.a[self.of_a].astype(np.int64) * n_b + self.b[self.of_b], return_counts=True)
         counts = self._told(np.bincount(keys // width, minlength=len(self.own)))
         return np.concatenate([[0], counts.cumsum()]), keys % width, times
 
@@ -216,8 +253,8 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_p
     """
     spark, where = docs.sparkSession, _paths(a_path, b_path)
     both = sides(*where)
-    n_b = len(both.b_bytes)
-    kind = "int" if len(both.a_bytes) * n_b < 1 << 31 else "bigint"
+    n_b = len(both.b_data)
+    kind = "int" if len(both.a_data) * n_b < 1 << 31 else "bigint"
     own = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     cut = stage(_cut_texts(own, where, kind), "token-links")
     counts = cut.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).withColumn("a", F.expr(f"int(pair div {n_b})"))

@@ -91,7 +91,19 @@ def test_both_sides_of_a_group_are_the_same_bytes(spark):
     assert len(told) > 100
     for part in [p for t in told for p in t.split(";")]:
         left, right = ([int(x) for x in side.split(",")] for side in part.split("|"))
-        assert b"".join(b.a_bytes[i] for i in left) == b"".join(b.b_bytes[i] for i in right)
+        assert b"".join(b.a_data[i] for i in left) == b"".join(b.b_data[i] for i in right)
+
+
+def test_ids_are_those_of_the_libraries():
+    rng = random.Random(9)
+    letters = "abcXYZ 019  \n\n\t'sé×÷ªº²§ÿŁ\x0b\r.,!?-_<>▁\x1c\xad\xa0\x85日😀٣Ⅷ"
+    both = alignment.sides(*alignment._paths(None, None))
+    texts = ["".join(rng.choice(letters[: rng.choice([9, 20, 34, len(letters)])]) for _ in range(rng.randrange(1, 50))) for _ in range(5000)]
+    texts += ["<|endoftext|> it's", "x" * 5000, " " * 300 + "a", "a" + " " * 300, "\n" * 50, "don't we'LL I'd"]
+    spaced = [" " + t for t in texts]
+    assert sum(alignment.CERTAIN.fullmatch(t) is not None for t in spaced) > 1000
+    for t, a, b in zip(texts, both.a(spaced), both.b(spaced), strict=True):
+        assert [a.tolist(), b.tolist()] == [[i for i, _ in side] for side in tokens(t)], t
 
 
 def test_no_rows_and_no_tokens(spark):
