@@ -79,6 +79,8 @@ PYTHON_DEF = r"(\s*)(?:async\s+)?def\s+(\w+)\s*(\([^)]*\))"
 PYTHON_FROM = r"from\s+(\.*[\w.]*)\s+import\s+(.+)$"
 PYTHON_IMPORT = r"import\s+([\w.]+)(?:\s+as\s+(\w+))?"
 RENAMED = r"\s+as\s+"
+REMARK_MARKS = r"^/\*\*?|\*/$|^\*\s?|^//\s?"
+HEAD_CHARS = 100  # of a declaration that its signature is taken from
 REMARK_STARTS = ("*", "/**", "//")
 REMARK_LEAD = r"^(/\*\*?|\*\s?|//\s?)"
 BRANCH = r"\b(?:if|for|while|do|catch|case)\b|&&|\|\||\?(?![.?])"

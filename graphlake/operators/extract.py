@@ -16,17 +16,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from graphlake.config import LIMITS
 from graphlake.functions import rules
+from graphlake.operators.script import script
 
 SYMBOLS = "array<struct<name:string,kind:string,line:int,end_line:int,signature:string,doc:string,exported:boolean,container:string,complexity:int>>"
 REFS = "array<struct<name:string,line:int>>"
 IMPORTS = "array<struct<local:string,imported:string,path:string>>"
 
-Extractor = Callable[[str], tuple[list[dict], list[dict]]]
+#: Text -> symbols and imports, and maybe references.
+Extractor = Callable[[str], tuple[list[dict], ...]]
 _registry: dict[str, Extractor] = {}
 
 
 def register(extensions: list[str], extractor: Extractor) -> None:
-    """Text -> (symbols, imports) for files of these extensions; the first registration of an extension holds."""
+    """An extractor for files of these extensions; the first registration of an extension holds. Without references of its own, every name before a parenthesis is one."""
     for e in extensions:
         _registry.setdefault(e, extractor)
 
@@ -126,8 +128,8 @@ def _script_declaration(raw: str, react: bool, in_class: bool) -> tuple[str, str
     return None
 
 
-def scripts(text: str) -> tuple[list[dict], list[dict]]:
-    """Symbols and imports of a script: a class holds what lies before its end, the latest one counts."""
+def script_lines(text: str) -> tuple[list[dict], list[dict]]:
+    """Symbols and imports of a script by its lines alone, for texts that are no whole files: a class holds what lies before its end, the latest one counts."""
     lines, out, imports = text.split("\n"), [], []
     ends, react = brace_ends(lines), "react" in text
     owner, until = None, 0
@@ -165,7 +167,7 @@ def python(text: str) -> tuple[list[dict], list[dict]]:
     return out, imports
 
 
-register(rules.SCRIPTS, scripts)
+register(rules.SCRIPTS, script)
 register([".py"], python)
 
 
@@ -187,8 +189,8 @@ def extracted(files: DataFrame) -> DataFrame:
             for rel, ext, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 row = {"file": rel, "symbols": [], "refs": [], "imports": [], "error": None}
                 try:
-                    row["symbols"], row["imports"] = known[ext](text)
-                    row["refs"] = references(text)
+                    row["symbols"], row["imports"], *refs = known[ext](text)
+                    row["refs"] = refs[0] if refs else references(text)
                 except Exception as e:  # noqa: BLE001
                     row["error"] = str(e)
                 rows.append(row)

@@ -1,24 +1,15 @@
-"""Graph operators as loops of joins. Frontiers are distinct and checkpointed, so lineage stays one round long and nothing is collected."""
+"""Graph operators as loops of joins. Frontiers are distinct and written to the shared folder, so lineage stays one round long and nothing is collected; what a later round no longer reads is deleted."""
 
 from __future__ import annotations
 
 import functools
-import tempfile
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlake.config import LIMITS
 from graphlake.functions.scalars import live_at
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        conf = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(conf or "file://" + tempfile.mkdtemp(prefix="graphlake-"))
-    return df.checkpoint()
+from graphlake.operators.staged import dropped, settled
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int = LIMITS.depth, reverse: bool = False) -> DataFrame:
@@ -78,10 +69,29 @@ def walked_edges(edges: DataFrame, found: DataFrame, depth: int = 1, direction:
     return functools.reduce(DataFrame.unionByName, parts).distinct()
 
 
+def paths_from(edges: DataFrame, seeds: DataFrame, depth: int = LIMITS.path_depth, rels: list[str] | None = None, nodes: DataFrame | None = None, at: object = None) -> DataFrame:
+    """seeds (seed) -> (src, dst, path): the least of the shortest paths from each seed to all that it reaches within ``depth``, itself included; ``rels``, ``nodes`` and ``at`` as in ``neighbours``."""
+    step, seeds = live(edges, rels, at).select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), seeds.select("seed").distinct()
+    if nodes is not None:
+        alive = live(nodes, at=at).select("node").distinct()
+        step = step.join(alive, F.col("b") == F.col("node"), "left_semi")
+        seeds = seeds.join(alive, F.col("seed") == F.col("node"), "left_semi")
+    step = settled(step)
+    front = settled(seeds.select("seed", F.col("seed").alias("node"), F.array("seed").alias("path")))
+    found = front
+    for _ in range(depth):
+        new = front.join(step, F.col("node") == F.col("a")).groupBy("seed", F.col("b").alias("node")).agg(F.min("path").alias("path"))
+        front = settled(new.join(found.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("path", F.concat("path", F.array("node"))))
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+    return found.select(F.col("seed").alias("src"), F.col("node").alias("dst"), "path")
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = LIMITS.path_depth, rels: list[str] | None = None, nodes: DataFrame | None = None, at: object = None) -> DataFrame:
-    """pairs (src, dst) -> (src, dst, path): the nodes of a shortest directed path, the least predecessors on ties; no row if there is none within ``depth``.
+    """pairs (src, dst) -> (src, dst, path): the nodes of a shortest directed path, the least of them in the order of its nodes; no row if there is none within ``depth``.
 
-    All pairs advance together; a pair that has arrived is followed no further. ``rels``, ``nodes`` and ``at`` as in ``neighbours``.
+    Two frontiers meet in the middle: one walks forth from each distinct source, one back from each distinct target, and in each round the smaller one takes a step. A path of the length reached so far has a node on both frontiers, so only they are joined. Each node keeps the least path to it, and pairs that have met are followed no further. ``rels``, ``nodes`` and ``at`` as in ``neighbours``.
     """
     step = live(edges, rels, at).select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
     pairs = pairs.select("src", "dst").distinct()
@@ -89,18 +99,31 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = LIMITS.path_
         alive = live(nodes, at=at).select("node").distinct()
         step = step.join(alive, F.col("b") == F.col("node"), "left_semi")
         pairs = pairs.join(alive, F.col("src") == F.col("node"), "left_semi").join(alive, F.col("dst") == F.col("node"), "left_semi")
-    front = settled(pairs.select("src", "dst", F.col("src").alias("node"), F.array("src").alias("path")))
-    seen, found = front.select("src", "dst", "node"), front.filter("src = dst").select("src", "dst", "path")
-    front = front.filter("src <> dst")
+    step, pairs = settled(step), settled(pairs)
+    found = pairs.filter("src = dst").select("src", "dst", F.array("src").alias("path"))
+    open_ = settled(pairs.filter("src <> dst"))
+    start = lambda end: settled(open_.select(F.col(end).alias("seed"), F.col(end).alias("node"), F.array(end).alias("path")).distinct())
+    fronts, seen, ends = [start("src"), start("dst")], [[], []], ("src", "dst")
+    sizes = [f.count() for f in fronts]
+    wanted = lambda k: fronts[k].join(open_.select(F.col(ends[k]).alias("seed")).distinct(), "seed", "left_semi")
     for _ in range(depth):
-        next_ = front.join(step, F.col("node") == F.col("a")).groupBy("src", "dst", F.col("b").alias("node")).agg(F.min("path").alias("path"))
-        new = settled(next_.join(seen, ["src", "dst", "node"], "left_anti").withColumn("path", F.concat("path", F.array("node"))))
-        hit = new.filter("node = dst")
-        found = found.unionByName(hit.select("src", "dst", "path"))
-        front = new.join(hit.select("src", "dst"), ["src", "dst"], "left_anti")
-        if front.isEmpty():
+        side = 0 if sizes[0] <= sizes[1] else 1
+        here, there = ("a", "b") if side == 0 else ("b", "a")
+        seen[side].append(fronts[side].select("seed", "node"))
+        known = functools.reduce(DataFrame.unionByName, seen[side])
+        # Of paths of one length the least is the least predecessor's, on either side.
+        new = wanted(side).join(step, F.col("node") == F.col(here)).groupBy("seed", F.col(there).alias("node")).agg(F.min("path").alias("path")).join(known, ["seed", "node"], "left_anti")
+        new = settled(new.withColumn("path", F.concat("path", F.array("node")) if side == 0 else F.concat(F.array("node"), "path")))
+        fronts[side] = new
+        forth, back = fronts[0].select(F.col("seed").alias("src"), "node", F.col("path").alias("p")), fronts[1].select(F.col("seed").alias("dst"), "node", F.col("path").alias("q"))
+        whole = F.concat("p", F.slice("q", 2, F.greatest(F.size("q") - 1, F.lit(0))))
+        hit = settled(forth.join(back, "node").join(open_, ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.min(whole).alias("path")))
+        found = found.unionByName(hit)
+        before, open_ = open_, settled(open_.join(hit, ["src", "dst"], "left_anti"))
+        dropped(before)
+        sizes = [wanted(k).count() for k in (0, 1)]
+        if not min(sizes):
             break
-        seen = seen.unionByName(front.select("src", "dst", "node"))
     return found
 
 
@@ -111,58 +134,192 @@ def shortest_path(edges: DataFrame, src: object, dst: object, depth: int = LIMIT
     return shortest_paths(edges, pair, depth).select("path")
 
 
-def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels (node, label) lowered along edges (a label goes from src to dst within a colour) until nothing changes; edges (src, dst)."""
-    while True:
-        low = edges.join(labels.withColumnsRenamed({"node": "src"}), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("low"))
-        new = settled(labels.join(low, "node", "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"), (F.col("low") < F.col("label")).alias("moved")))
-        if new.filter("moved").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+# ---- components ----
+
+
+#: A node of more edges than this, and than a ten-thousandth of all, is a hub: there are at most 20 000 of them.
+HUB = 100_000
+
+
+def _with_low(rows: DataFrame, low: DataFrame, hub: int) -> DataFrame:
+    """rows (u, v) with their u's m; rows of hubs, which would meet in one task, get it from a broadcast."""
+    hubs = F.broadcast(low.filter(F.col("n") > hub).select("u", "m"))
+    others = rows.join(hubs.select("u"), "u", "left_anti").join(low.filter(F.col("n") <= hub).select("u", "m"), "u")
+    return rows.join(hubs, "u").unionByName(others)
+
 
+def _star_round(edges: DataFrame, hub: int) -> DataFrame:
+    """edges (u > v): larger neighbours move to a node's least neighbour, then all others to each node's least one."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    large = _with_low(both.filter("v > u"), low, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_low(large, low, hub).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
-def weak_components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each weakly connected component, for all nodes of an edge."""
-    both = settled(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    return _spread(both, both.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct())
+
+def weak_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, label): the least node of each weakly connected component, for all nodes of an edge.
+
+    Star rounds halve the length of paths, so their number grows with its logarithm; raises if ``rounds`` don't suffice.
+    """
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    now = settled(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    mark = None
+    for _ in range(rounds):
+        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if state == mark or not state.n:
+            break
+        mark = state
+        before, now = now, settled(_star_round(now, max(HUB, 2 * state.n // 10_000)))
+        dropped(before)
+    else:
+        raise RuntimeError("components did not settle")
+    return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def _trim(edges: DataFrame) -> DataFrame:
-    """Edges that may lie on a cycle: both ends have an edge in and an edge out."""
-    n = edges.count()
+    """Edges (src, dst) whose ends both have an edge in and an edge out: others lie on no cycle."""
+    outs, ins = edges.select(F.col("src").alias("n")).distinct(), edges.select(F.col("dst").alias("n")).distinct()
+    alive = settled(outs.join(ins, "n", "left_semi"))
+    out = settled(edges.join(alive.withColumnRenamed("n", "src"), "src", "left_semi").join(alive.withColumnRenamed("n", "dst"), "dst", "left_semi"))
+    dropped(alive)
+    return out
+
+
+def _compressed(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(edges, segments, members, rings): chains of nodes with one edge in and one out become one edge each.
+
+    segments (src, dst, last): the edge that stands for a chain, named by its last node; members (node, last): a chain's nodes; rings (node, label): chains without an end. Pointers to the end double their reach each round.
+    """
+    outs = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("outs"), F.min("dst").alias("to"))
+    ins = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("ins"))
+    inner = settled(outs.join(ins, "node").filter("ins = 1 and outs = 1").select("node"))
+    chain = settled(outs.join(inner, "node", "left_semi").select("node", "to", F.col("node").alias("last"), F.col("node").alias("low")).join(inner.select(F.col("node").alias("to"), F.lit(True).alias("more")), "to", "left").select("node", "to", "last", "low", F.coalesce("more", F.lit(False)).alias("more")))
+    for _ in range(max(1, inner.count().bit_length() + 1)):
+        if chain.filter("more").isEmpty():
+            break
+        ahead = chain.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("last").alias("last2"), F.col("low").alias("low2"), F.col("more").alias("more2"))
+        met = chain.filter("more").join(ahead, "to").select("node", F.col("to2").alias("to"), F.col("last2").alias("last"), F.least("low", "low2").alias("low"), F.col("more2").alias("more"))
+        before, chain = chain, settled(chain.filter("not more").select("node", "to", "last", "low", "more").unionByName(met))
+        dropped(before)
+    # What still goes on after so many rounds goes round in a ring, all of which its pointers have seen.
+    rings = chain.filter("more").select("node", F.col("low").alias("label"))
+    ended = chain.filter("not more").select("node", "to", "last")
+    kept = edges.join(inner.select(F.col("node").alias("src")), "src", "left_anti")
+    entry = kept.join(ended.select(F.col("node").alias("dst"), "to", "last"), "dst", "left").select("src", F.coalesce("to", "dst").alias("dst"), "last")
+    entry = settled(entry)
+    segments = entry.filter("last is not null")
+    return settled(entry.filter("src <> dst").select("src", "dst").distinct()), segments, ended.select("node", "last"), rings
+
+
+def _pivot_sets(edges: DataFrame) -> DataFrame:
+    """(node, forth, back): what the node of most edges in and out reaches, and what reaches it, both walked in the same rounds."""
+    outs, ins = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o")), edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i"))
+    pivot = outs.join(ins, "node").orderBy(F.desc(F.col("o") * F.col("i")), "node").select("node").limit(1)
+    step = settled(edges.select(F.lit(0).alias("way"), F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.lit(1).alias("way"), F.col("dst").alias("a"), F.col("src").alias("b"))))
+    front = settled(pivot.select("node", F.explode(F.array(F.lit(0), F.lit(1))).alias("way")))
+    seen = front
+    while not front.isEmpty():
+        new = front.join(step, (F.col("node") == F.col("a")) & (front.way == step.way)).select(F.col("b").alias("node"), step.way).distinct()
+        front = settled(new.join(seen, ["node", "way"], "left_anti"))
+        seen = seen.unionByName(front)
+    out = settled(seen.groupBy("node").agg((F.min("way") == 0).alias("forth"), (F.max("way") == 1).alias("back")))
+    dropped(step, seen)
+    return out
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(node, label): each node with the least node that reaches it."""
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    labels = settled(nodes.select("node", F.col("node").alias("label"), F.lit(True).alias("moved")))
     while True:
-        outs, ins = edges.select(F.col("src").alias("n")).distinct(), edges.select(F.col("dst").alias("n")).distinct()
-        alive = outs.join(ins, "n", "left_semi")
-        edges = settled(edges.join(alive.withColumnRenamed("n", "src"), "src", "left_semi").join(alive.withColumnRenamed("n", "dst"), "dst", "left_semi"))
-        if (m := edges.count()) == n:
-            return edges
+        low = edges.join(labels.filter("moved").select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("low"))
+        less = F.coalesce(F.col("low") < F.col("label"), F.lit(False))
+        before, labels = labels, settled(labels.drop("moved").join(low, "node", "left").select("node", F.when(less, F.col("low")).otherwise(F.col("label")).alias("label"), less.alias("moved")))
+        dropped(before)
+        if labels.filter("moved").isEmpty():
+            return labels.select("node", "label")
+
+
+def _without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_anti").join(nodes.select(F.col("node").alias("dst")), "dst", "left_anti")
+
+
+def _within(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """Edges whose ends are in the same part (node, part); nodes without a part are one."""
+    one = edges.join(parts.select(F.col("node").alias("src"), F.col("part").alias("p")), "src", "left")
+    return one.join(parts.select(F.col("node").alias("dst"), F.col("part").alias("q")), "dst", "left").filter(F.col("p").eqNullSafe(F.col("q"))).select("src", "dst")
+
+
+def _core(left: DataFrame, n: int) -> list[DataFrame]:
+    """(node, label) tables of the strong components of a graph of ``n`` edges. While a pivot's component is large, it is found by its forward and backward sets, and what they part is parted; then by colours, whose roots are pivots all at once."""
+    found, big = [], True
+    while n:
+        if big:
+            sets = _pivot_sets(left)
+            done = sets.filter("forth and back").select("node")
+            least = done.agg(F.min("node").alias("label"), F.count("*").alias("size")).first()
+            found.append(done.select("node", F.lit(least.label).alias("label")))
+            rest = _within(_without(left, done), sets.select("node", F.when(F.col("forth"), 1).otherwise(2).alias("part")))
+            big = least.size * 10 > n
+        else:
+            colour = _coloured(left)
+            own = settled(_within(left, colour.withColumnRenamed("label", "part")))
+            front = done = colour.filter("node = label")
+            while not front.isEmpty():
+                back = own.join(front.select(F.col("node").alias("dst"), "label"), "dst").select(F.col("src").alias("node"), "label").distinct()
+                front = settled(back.join(done, ["node", "label"], "left_anti"))
+                done = done.unionByName(front)
+            done = settled(done)
+            found.append(done)
+            rest = _without(own, done)
+        left, n = _shrunk(rest)
+    return found
+
+
+def _shrunk(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Trimmed as long as a twentieth or more goes each time, and the number of edges."""
+    left = settled(edges)
+    n = left.count()
+    while n:
+        before, left = left, _trim(left)
+        dropped(before)
+        m = left.count()
+        if m * 20 > n * 19:
+            return left, m
         n = m
+    return left, n
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, label): nodes of strongly connected components of two or more; label names the component.
+    """(node, label): nodes of strongly connected components of two or more; label is the component's least node.
 
-    Rounds of colouring: each node gets the least node that reaches it, which is the root of its colour; what reaches the root within its colour is the root's component and is taken out with its edges.
+    Ends are trimmed and chains compressed in turn, so long paths and trees go in a number of rounds that grows with the logarithm of their length; forward and backward sets of pivots part what is left. Then chains whose two ends lie in one component join it, the last compressed first.
     """
-    left = _trim(edges.filter("src <> dst").select("src", "dst").distinct())
-    found = None
-    while not left.isEmpty():
-        nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
-        colour = settled(_spread(left, nodes.withColumn("label", F.col("node"))))
-        within = settled(left.join(colour.withColumnsRenamed({"node": "src", "label": "c"}), "src").join(colour.withColumnsRenamed({"node": "dst", "label": "d"}), "dst").filter("c = d").select("src", "dst", "c"))
-        done = colour.filter("node = label")
-        front = done
-        while not front.isEmpty():
-            back = within.join(front.withColumnsRenamed({"node": "dst", "label": "c"}), ["dst", "c"]).select(F.col("src").alias("node"), F.col("c").alias("label")).distinct()
-            front = settled(back.join(done, ["node", "label"], "left_anti"))
-            done = done.unionByName(front)
-        done = settled(done)
-        big = done.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1")
-        part = done.join(big.select("label"), "label", "left_semi").select("node", "label")
-        found = part if found is None else found.unionByName(part)
-        gone = done.select("node")
-        left = _trim(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-    return found if found is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("label")).limit(0)
+    left, n = _shrunk(edges.filter("src <> dst").select("src", "dst").distinct())
+    levels, parts = [], []
+    while n:
+        left, segments, members, rings = _compressed(left)
+        levels.append((segments, members))
+        parts.append(rings)
+        left, m = _shrunk(left)
+        if m * 20 > n * 19:
+            n = m
+            break
+        n = m
+    parts += _core(left, n)
+    nothing = edges.select(F.col("src").alias("node"), F.col("src").alias("label")).limit(0)
+    labels = settled(functools.reduce(DataFrame.unionByName, parts, nothing))
+    for segments, members in reversed(levels):
+        # A chain from a node back to itself makes a component of a node that may have had none.
+        at = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))  # noqa: E731, B023
+        ends = segments.join(at("src"), "src", "left").join(at("dst"), "dst", "left")
+        hit = settled(ends.filter("src = dst or src_label = dst_label").select("src", "last", F.coalesce("src_label", "src").alias("label")))
+        new = hit.select(F.col("src").alias("node"), "label").unionByName(members.join(hit.select("last", "label"), "last").select("node", "label"))
+        labels = settled(labels.unionByName(new).distinct())
+    named = labels.groupBy("label").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    return labels.join(named, "label").select("node", F.col("least").alias("label"))
 
 
 def cycles(edges: DataFrame, most: int = LIMITS.cycles) -> DataFrame:
@@ -170,16 +327,58 @@ def cycles(edges: DataFrame, most: int = LIMITS.cycles) -> DataFrame:
     return strong_components(edges).groupBy("label").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("members")).orderBy(F.desc("size"), "label").limit(most)
 
 
-def tiers(edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """(node, tier): the longest path to a sink; edges within a cycle are left out first, so that members of a cycle are ranked by what lies below it."""
-    scc = strong_components(edges)
-    a, b = scc.withColumnsRenamed({"node": "src", "label": "c"}), scc.withColumnsRenamed({"node": "dst", "label": "d"})
-    dag = settled(edges.filter("src <> dst").select("src", "dst").distinct().join(a, "src", "left").join(b, "dst", "left").filter("c is null or d is null or c <> d").select("src", "dst"))
-    tier = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().withColumn("tier", F.lit(0))
-    for _ in range(most):
-        up = dag.join(tier.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg((F.max("tier") + 1).alias("up"))
-        new = settled(tier.join(up, "node", "left").select("node", F.greatest("tier", F.coalesce("up", F.lit(0))).alias("tier"), (F.col("up") > F.col("tier")).alias("moved")))
-        if new.filter("moved").isEmpty():
-            break
-        tier = new.select("node", "tier")
-    return new.select("node", "tier")
+def _merged(tables: list[DataFrame], most: int = 16) -> list[DataFrame]:
+    """As many tables or fewer: once there are ``most`` they become one."""
+    if len(tables) < most:
+        return tables
+    one = settled(functools.reduce(DataFrame.unionByName, tables))
+    dropped(*tables)
+    return [one]
+
+
+def tiers(edges: DataFrame) -> DataFrame:
+    """(node, tier): the longest path to a sink; edges within a cycle are left out, so that members of a cycle are ranked by what lies below it.
+
+    Nodes are peeled off from the sinks on. What is kept for each node is how many of its edges lead to nodes that still stand, and the greatest tier met so far; a round joins the nodes that fell last to the edges that enter them and adds to a log, which is worked into that table once it has grown to half of it. Only if nodes are left that nothing peels are their cycles looked for. Each round peels a node or more, or raises.
+    """
+    left = settled(edges.filter("src <> dst").select("src", "dst").distinct())
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    opened = lambda e: e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("open"))
+    base = settled(opened(left).withColumn("up", F.lit(0)))
+    size, log, grown = base.count(), [], 0
+    front = settled(nodes.join(base, "node", "left_anti").select("node", F.lit(0).alias("tier")))
+    fallen = [front]
+
+    def standing() -> DataFrame:
+        """The table with its log worked in, without what has fallen."""
+        if not log:
+            return base
+        sums = functools.reduce(DataFrame.unionByName, log).groupBy("node").agg(F.sum("n").alias("n"), F.max("up").alias("high"))
+        return base.join(sums, "node", "left").select("node", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.greatest("up", F.coalesce("high", F.lit(0))).alias("up")).filter("open > 0")
+
+    while True:
+        while not front.isEmpty():
+            hits = settled(left.join(front, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), (F.max("tier") + 1).alias("up")))
+            log.append(hits)
+            mine = functools.reduce(DataFrame.unionByName, log).join(hits.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("n").alias("n"), F.max("up").alias("high"))
+            front = settled(mine.join(base, "node").filter("open = n").select("node", F.greatest("up", "high").alias("tier")))
+            fallen = [*_merged(fallen), front]
+            grown += hits.count()
+            if 2 * grown > size or len(log) >= 16:
+                before, base = [base, *log], settled(standing())
+                dropped(*before)
+                size, log, grown = base.count(), [], 0
+        base, log, grown = settled(standing()), [], 0
+        if base.isEmpty():
+            return functools.reduce(DataFrame.unionByName, fallen)
+        stuck = _within(left.join(base.select(F.col("node").alias("src")), "src", "left_semi"), base.select("node", F.lit(1).alias("part")))
+        loops = settled(strong_components(stuck))
+        if loops.isEmpty():
+            raise RuntimeError("nodes are left that neither fall nor lie on a cycle")
+        inside = _within(stuck.join(loops.select(F.col("node").alias("src")), "src", "left_semi"), loops.select("node", F.col("label").alias("part")))
+        left = settled(stuck.join(inside, ["src", "dst"], "left_anti"))
+        base = settled(base.select("node", "up").join(opened(left), "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"), "up"))
+        front = settled(base.filter("open = 0").select("node", F.col("up").alias("tier")))
+        fallen = [*_merged(fallen), front]
+        base = settled(base.filter("open > 0"))
+        size = base.count()

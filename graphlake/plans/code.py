@@ -59,7 +59,7 @@ sy AS (SELECT k, bd.g, {SQL_PATH.format(g="bd.g")} AS file, 'part' || k AS name,
        coalesce(n, 0) + 1 + coalesce(sum(lines) OVER (PARTITION BY bd.g ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM bd LEFT JOIN ni ON bd.g = ni.g)"""
 
 
-@of(f"WITH {SQL_CODE} SELECT file, name, 'function' AS kind, CAST(line AS INT) AS line, CAST(line + lines - 1 AS INT) AS end_line, 'function ' || name || '()' AS signature, exported, 1 AS complexity, ins AS fan_in, outs AS fan_out FROM sy")
+@of(f"WITH {SQL_CODE} SELECT file, name, 'function' AS kind, CAST(line AS INT) AS line, CAST(line + lines - 1 AS INT) AS end_line, CASE WHEN exported THEN 'export ' ELSE '' END || 'function ' || name || '()' AS signature, exported, 1 AS complexity, ins AS fan_in, outs AS fan_out FROM sy")
 def index_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, symbols, _ = _index(spark, sf_dir)
     return symbols.select("file", "name", "kind", "line", "end_line", "signature", "exported", "complexity", "fan_in", "fan_out")

@@ -107,13 +107,27 @@ def walked_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.walked_edges(edges, found, 2, rels=WALKED, at=AT)
 
 
-@of(f"""WITH RECURSIVE {SQL_DATED}, pr AS (SELECT seed AS src, node AS dst FROM sd JOIN ln ON node BETWEEN seed AND seed + 60),
-r AS (SELECT seed, seed AS node, 0 AS hops FROM sd UNION SELECT seed, st.dst, hops + 1 FROM r JOIN st ON node = st.src WHERE hops < 5) SELECT src, dst, CAST(min(hops) AS INT) AS hops FROM pr JOIN r ON seed = src AND node = dst GROUP BY ALL""")
+SQL_TREES = f"""{SQL_DATED}, r AS (SELECT seed, seed AS node, 0 AS hops FROM sd UNION SELECT seed, st.dst, hops + 1 FROM r JOIN st ON node = st.src WHERE hops < 16),
+d AS MATERIALIZED (SELECT seed, node, min(hops) AS hops FROM r GROUP BY ALL),
+p AS (SELECT seed, seed AS node, 0 AS hops, [seed] AS path FROM sd UNION ALL
+SELECT p.seed, d.node, p.hops + 1, list_append(min(path), d.node) FROM p JOIN st ON p.node = st.src JOIN d ON d.seed = p.seed AND d.node = st.dst AND d.hops = p.hops + 1 GROUP BY p.seed, d.node, p.hops)"""
+
+
+@of(f"WITH RECURSIVE {SQL_TREES} SELECT seed AS src, node AS dst, hops, array_to_string(path, '>') AS path FROM p")
 def causal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From every live part whose id is divisible by 100 to itself and the 60 ids that follow, at most five steps."""
+    """From every live part whose id is divisible by 100 to every live part that it reaches, with the path."""
+    edges, nodes = _dated(spark, sf_dir)
+    seeds = nodes.filter("node % 100 = 0").select(F.col("node").alias("seed"))
+    return graph.paths_from(edges, seeds, rels=WALKED, nodes=nodes, at=AT).select("src", "dst", (F.size("path") - 1).alias("hops"), F.array_join("path", ">").alias("path"))
+
+
+@of(f"""WITH RECURSIVE {SQL_TREES}, pr AS (SELECT seed, node FROM sd JOIN ln ON node BETWEEN seed AND seed + 60)
+SELECT p.seed AS src, p.node AS dst, array_to_string(path, '>') AS path FROM p JOIN pr ON p.seed = pr.seed AND p.node = pr.node""")
+def causal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every live part whose id is divisible by 100 to itself and the 60 ids that follow, from both ends."""
     edges, nodes = _dated(spark, sf_dir)
     pairs = nodes.filter("node % 100 = 0").select(F.col("node").alias("src"), F.explode(F.sequence(F.col("node"), F.col("node") + 60)).alias("dst"))
-    return graph.shortest_paths(edges, pairs, 5, WALKED, nodes, AT).select("src", "dst", (F.size("path") - 1).alias("hops"))
+    return graph.shortest_paths(edges, pairs, rels=WALKED, nodes=nodes, at=AT).select("src", "dst", F.array_join("path", ">").alias("path"))
 
 
 @of(f"WITH {SQL_DATED} SELECT p_partkey AS of, 'in' AS side, src AS other FROM part JOIN le ON dst = p_partkey UNION ALL SELECT p_partkey, 'out', dst FROM part JOIN le ON src = p_partkey")

@@ -49,7 +49,7 @@ def test_python_symbols_and_members(spark):
 
 def test_scripts_are_parsed():
     text = '/** Adds. */\nexport default class Sum extends Base {\n  async add(a, b) {\n    if (a && b) { return a ? 1 : 2; }\n  }\n}\nexport interface Shape { x: number }\nexport const View = (props) => {\n  // react\n  for (const p of props) run(p);\n};\nconst plain = async (x) => x;\nfunction* gen(a) {\n}\n'
-    symbols, imports = extract.scripts("import def, { a as b, c } from './x';\nimport * as ns from \"y\";\n" + text)
+    symbols, imports = extract.script_lines("import def, { a as b, c } from './x';\nimport * as ns from \"y\";\n" + text)
     assert [(s["name"], s["kind"], s["container"]) for s in symbols] == [("Sum", "class", None), ("add", "method", "Sum"), ("Shape", "interface", None), ("View", "component", None), ("plain", "function", None), ("gen", "function", None)]
     assert symbols[0]["doc"] == "Adds." and symbols[1]["complexity"] == 4 and symbols[0]["exported"] and not symbols[4]["exported"]
     assert [(i["local"], i["imported"], i["path"]) for i in imports] == [("def", "default", "./x"), ("b", "a", "./x"), ("c", "c", "./x"), ("ns", "*", "y")]
