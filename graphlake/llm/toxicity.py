@@ -1,12 +1,11 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one on what toxic text has and ordinary text lacks, its words that are many times likelier there. The ordinary model is the first dictionary, the toxic model both, the toxic part in front; where it stands the ordinary model has blanks, so all else lies equally far from a window. Each window of a text is compressed under both, and the bytes that the toxic model saves, over the whole text, go through a logistic curve whose threshold of 0.5 is calibrated by cross-fitting: each labelled document is measured with dictionaries that have not seen it.
+Two zstandard dictionaries are trained: the ordinary one on windows of ordinary text, the toxic one on windows of toxic text, those that the ordinary dictionary shortens least. The ordinary model is the ordinary dictionary; the toxic model has the toxic one in front of it, where the ordinary model has blanks, so all else lies equally far from a window. Each window of a text is compressed under both, and the bytes that the toxic model saves, over the whole text, go through a logistic curve whose threshold of 0.5 is calibrated by cross-fitting: each labelled document is measured with dictionaries that have not seen it.
 """
 
 from __future__ import annotations
 
 import dataclasses
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,45 +17,47 @@ from pyspark.sql import types as T
 
 from graphlake.llm.common import released, unused
 
-WINDOW, STEP = 256, 128
+WINDOW, STEP = 128, 64
 MARGIN = 3  # bytes by which a window counts as toxic
 MOST = 12.0  # bytes that one window's saving counts for, at most
 SAMPLE = 1500  # labelled documents of each class that a model is fitted on, at most
 SAMPLE_CHARS = 20_000  # of a document in that sample, at most; longer ones are left out of it
-DICTIONARY = 4096  # bytes of each trained dictionary, about
-SEGMENT, KEYS = 50, 8  # of the trainer: bytes of the segments it picks and of the strings it counts
-LIFT, SHARE = 8.0, 0.04  # of a word of toxic text: how many times likelier than in ordinary text, and its share of toxic documents, at least
-LEAST = 5  # toxic documents that hold such a word, at least
+ORDINARY, TOXIC = 65_536, 1024  # bytes of the trained dictionaries, about
+PIECE, SHIFT = 32, 8  # windows that the toxic dictionary is trained on
+NOVEL = 0.15  # share of these windows that the ordinary dictionary shortens least
+SEGMENT, KEYS = 12, 8  # of the trainer for the toxic dictionary: bytes of the segments it picks and of the strings it counts
 FOLDS = 3
 
 
-def _windows(data: bytes) -> list[bytes]:
-    return [data[i : i + WINDOW] for i in range(0, max(1, len(data) - WINDOW + STEP), STEP)]
+SETTINGS = zstd.ZstdCompressionParameters.from_level(9, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS, window_log=17, hash_log=17, chain_log=17, min_match=5)
 
 
-def _told(own: list[bytes], other: list[bytes]) -> list[bytes]:
-    """The documents of ``own`` reduced to the words by which they differ from ``other``, those without any left out."""
-    mine, theirs = Counter(), Counter()
-    for counts, texts in ((mine, own), (theirs, other)):
-        for t in texts:
-            counts.update(set(t.split()))
-    least = max(LEAST, SHARE * len(own))
-    keep = {w for w, n in mine.items() if n >= least and n / len(own) > LIFT * (theirs[w] + 0.5) / (len(other) + 1)}
-    return [b" " + b" ".join(words) + b" " for t in own if (words := [w for w in t.split() if w in keep])]
+def _windows(data: bytes, size: int = WINDOW, step: int = STEP) -> list[bytes]:
+    return [data[i : i + size] for i in range(0, max(1, len(data) - size + step), step)]
 
 
-def _dictionary(samples: list[bytes], segment: int) -> bytes:
-    """A trained dictionary; of too few samples for the trainer, these themselves."""
+def _compressor(dictionary: bytes) -> Callable[[bytes], bytes]:
+    # As raw content: each dictionary's own entropy tables would add differences that have nothing to do with what a window says.
+    return zstd.ZstdCompressor(compression_params=SETTINGS, dict_data=zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_RAWCONTENT)).compress
+
+
+def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A trained dictionary; of too few samples for the trainer, as many of them as it may hold, dealt evenly over all."""
     try:
-        return zstd.train_dictionary(DICTIONARY, samples, k=segment, d=KEYS).as_bytes()
+        return zstd.train_dictionary(size, samples, k=segment, d=KEYS).as_bytes()
     except (zstd.ZstdError, ValueError):
-        return b"".join(samples)[:DICTIONARY]
+        most = max(1, size // max(1, max(map(len, samples), default=1)))
+        return b"".join(samples[:: max(1, -(-len(samples) // most))])
 
 
 def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """(toxic, ordinary): both models' dictionaries, of equal length."""
-    common = _dictionary([w for t in ordinary for w in _windows(t)], WINDOW)
-    front = _dictionary([w for t in _told(toxic, ordinary) for w in _windows(t)], SEGMENT)
+    common = _dictionary([w for t in ordinary for w in _windows(t)], ORDINARY, WINDOW)
+    pieces = [w for t in toxic for w in _windows(t, PIECE, SHIFT)]
+    short = _compressor(common.ljust(8))
+    sizes = np.array([len(short(w)) for w in pieces])
+    least = np.quantile(sizes, 1 - NOVEL)
+    front = _dictionary([w for w, n in zip(pieces, sizes, strict=True) if n >= least], TOXIC, SEGMENT)
     return (front + common).ljust(8), (b" " * len(front) + common).ljust(8)
 
 
@@ -79,9 +80,7 @@ class Model:
 
 def _savings(toxic: bytes, ordinary: bytes) -> Callable[[bytes], np.ndarray]:
     """data -> by how many bytes each of its windows is shorter under the toxic dictionary."""
-    settings = zstd.ZstdCompressionParameters.from_level(9, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS, window_log=15, hash_log=13, chain_log=13, min_match=6)
-    # As raw content: each dictionary's own entropy tables would add differences that have nothing to do with what a window says.
-    a, b = (zstd.ZstdCompressor(compression_params=settings, dict_data=zstd.ZstdCompressionDict(d, dict_type=zstd.DICT_TYPE_RAWCONTENT)).compress for d in (ordinary, toxic))
+    a, b = _compressor(ordinary), _compressor(toxic)
     return lambda data: np.array([len(a(w)) - len(b(w)) for w in _windows(data)], np.float64)
 
 

@@ -66,16 +66,16 @@ def test_scores_match_plain_version(model):
     rng = random.Random(10)
 
     def size(window, dictionary):
-        settings = zstd.ZstdCompressionParameters.from_level(9, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS, window_log=15, hash_log=13, chain_log=13, min_match=6)
+        settings = zstd.ZstdCompressionParameters.from_level(9, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS, window_log=17, hash_log=17, chain_log=17, min_match=5)
         return len(zstd.ZstdCompressor(compression_params=settings, dict_data=zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_RAWCONTENT)).compress(window))
 
     score = model.scorer()
     for t in [None, "", "é" * 200, text(rng, True), text(rng, False), text(rng, True, 900), text(rng, False, 4000)]:
         data, saved, at = (t or "").encode(), [], 0
         while True:
-            saved.append(size(data[at : at + 256], model.ordinary) - size(data[at : at + 256], model.toxic))
-            at += 128
-            if at >= len(data) - 128:
+            saved.append(size(data[at : at + 128], model.ordinary) - size(data[at : at + 128], model.toxic))
+            at += 64
+            if at >= len(data) - 64:
                 break
         best = sorted(saved)[-3:]
         x = [sum(saved) / len(saved), min(max(saved), 12), min(sum(best) / len(best), 12), sum(d >= 3 for d in saved) / len(saved), 1]
@@ -83,13 +83,23 @@ def test_scores_match_plain_version(model):
         assert score(t) == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
 
 
-def test_both_dictionaries_are_trained():
+def test_both_dictionaries_are_trained_on_windows():
     rng = random.Random(11)
     toxic, ordinary = [text(rng, True).encode() for _ in range(120)], [text(rng, False).encode() for _ in range(300)]
     t, o = toxicity._dictionaries(toxic, ordinary)
-    assert len(t) == len(o) and all(b.encode() in t and b.encode() not in o for b in BAD)
+    front = t[: len(t) - len(o.lstrip(b" "))]
+    assert len(t) == len(o) and t.endswith(o[len(front) :]) and all(b.encode() in t and b.encode() not in o for b in BAD)
     words = {w for d in ordinary for w in d.split()}
     assert sum(w in words for w in o.split()) > 100
+    # Pieces of toxic text as they stand, not a list of words: most of what the toxic dictionary holds is found in some toxic text whole.
+    runs = [front[i : i + toxicity.KEYS] for i in range(len(front) // 3, len(front) - toxicity.KEYS, toxicity.KEYS)]
+    assert sum(any(r in d for d in toxic) for r in runs) > len(runs) / 2 and any(w in words for w in front.split())
+
+
+def test_too_few_samples_are_dealt_evenly():
+    some = [bytes([65 + k]) * 10 for k in range(20)]
+    got = toxicity._dictionary(some, 50, 16)
+    assert len(got) <= 50 and got.endswith(b"Q" * 10)
 
 
 def test_long_texts_are_scored_whole_and_not_learned_from(spark):
