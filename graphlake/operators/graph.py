@@ -163,6 +163,7 @@ def weak_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Star rounds halve the length of paths, so their number grows with its logarithm; raises if ``rounds`` don't suffice.
     """
+    edges = settled(edges.select("src", "dst").distinct())
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     now = settled(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     mark = None
@@ -327,27 +328,19 @@ def cycles(edges: DataFrame, most: int = LIMITS.cycles) -> DataFrame:
     return strong_components(edges).groupBy("label").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("members")).orderBy(F.desc("size"), "label").limit(most)
 
 
-def _merged(tables: list[DataFrame], most: int = 16) -> list[DataFrame]:
-    """As many tables or fewer: once there are ``most`` they become one."""
-    if len(tables) < most:
-        return tables
-    one = settled(functools.reduce(DataFrame.unionByName, tables))
-    dropped(*tables)
-    return [one]
-
-
 def tiers(edges: DataFrame) -> DataFrame:
     """(node, tier): the longest path to a sink; edges within a cycle are left out, so that members of a cycle are ranked by what lies below it.
 
     Nodes are peeled off from the sinks on. What is kept for each node is how many of its edges lead to nodes that still stand, and the greatest tier met so far; a round joins the nodes that fell last to the edges that enter them and adds to a log, which is worked into that table once it has grown to half of it. Only if nodes are left that nothing peels are their cycles looked for. Each round peels a node or more, or raises.
     """
-    left = settled(edges.filter("src <> dst").select("src", "dst").distinct())
+    edges = settled(edges.select("src", "dst").distinct())
+    left = settled(edges.filter("src <> dst"))
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     opened = lambda e: e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("open"))
     base = settled(opened(left).withColumn("up", F.lit(0)))
     size, log, grown = base.count(), [], 0
     front = settled(nodes.join(base, "node", "left_anti").select("node", F.lit(0).alias("tier")))
-    fallen = [front]
+    fallen, kept = [front], [front]
 
     def standing() -> DataFrame:
         """The table with its log worked in, without what has fallen."""
@@ -358,16 +351,18 @@ def tiers(edges: DataFrame) -> DataFrame:
 
     while True:
         while not front.isEmpty():
-            hits = settled(left.join(front, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), (F.max("tier") + 1).alias("up")))
-            log.append(hits)
-            mine = functools.reduce(DataFrame.unionByName, log).join(hits.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("n").alias("n"), F.max("up").alias("high"))
-            front = settled(mine.join(base, "node").filter("open = n").select("node", F.greatest("up", "high").alias("tier")))
-            fallen = [*_merged(fallen), front]
-            grown += hits.count()
+            hits = left.join(front, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), (F.max("tier") + 1).alias("up"))
+            now = hits.join(standing().select("node", "open", F.col("up").alias("high")), "node")
+            now = settled(now.select("node", "n", F.greatest("up", "high").alias("up"), (F.col("open") - F.col("n")).alias("left")))
+            log.append(now.select("node", "n", "up"))
+            front = now.filter("left = 0").select("node", F.col("up").alias("tier"))
+            fallen.append(front)
+            grown += now.count()
             if 2 * grown > size or len(log) >= 16:
-                before, base = [base, *log], settled(standing())
+                before = [base, *log[:-1], *kept]
+                base, done = settled(standing()), settled(functools.reduce(DataFrame.unionByName, fallen[:-1]))
                 dropped(*before)
-                size, log, grown = base.count(), [], 0
+                size, log, grown, fallen, kept = base.count(), [], 0, [done, front], [done, now]
         base, log, grown = settled(standing()), [], 0
         if base.isEmpty():
             return functools.reduce(DataFrame.unionByName, fallen)
@@ -379,6 +374,6 @@ def tiers(edges: DataFrame) -> DataFrame:
         left = settled(stuck.join(inside, ["src", "dst"], "left_anti"))
         base = settled(base.select("node", "up").join(opened(left), "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"), "up"))
         front = settled(base.filter("open = 0").select("node", F.col("up").alias("tier")))
-        fallen = [*_merged(fallen), front]
+        fallen.append(front)
         base = settled(base.filter("open > 0"))
         size = base.count()
