@@ -1,6 +1,6 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them. DataFrame functions only.
 
-A text's word shingles are hashed; windows of ``SPAN`` shingles start every ``STRIDE``, so each inner shingle stands in two. A band is the least of a window's hashes after each was hashed anew with the band's number, one row a band, so bands are independent and windows of similarity J meet in one of them with probability 1 - (1 - J)^BANDS: over 0.998 for a lone shingle in one window, over 0.99999 in two. Templates are windowed at every start. A window that has no shingle of any template can meet none in any band, so texts without such a shingle are put aside first. What bands miss, leads meet: a text that holds m of a template's n distinct shingles holds one of any n - m + 1 of them, so that many, with the least m that the similarity allows, are looked up as they are and no template is missed. Every template that met a document is then compared with all of its shingles exactly.
+A text's word shingles are hashed; windows of two shingles, six words, start at every word, so each shingle stands in two, and those at the ends stand in one of their own. A band is the lesser of a window's two hashes after each was hashed anew with the band's number, so bands are independent. Templates are windowed alike. A window that stands in text and template alike meets in every band. A lone shingle is the lesser in one of its two windows with a probability of two thirds, that is, unless it is the greatest of three; that of a template of one shingle is always in the template's band, so it is met in one of ``BANDS`` with a probability of 1 - 3^-BANDS, over 0.999998. In a longer template it is, again, with two thirds; of two lone shingles, and fewer are never enough for a longer template, one is met with over 0.999999. Every template that met a document is then compared with all of its shingles exactly.
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from graphlake.llm.common import few_rows, stage
 
-SHINGLE, SPAN, STRIDE, BANDS = 5, 8, 4, 48
+SHINGLE, BANDS = 5, 12
 SIMILARITY = 0.8
-TEMPLATE_ROWS = 2000  # templates that are broadcast; of more, all joins are shuffled ones and every text is windowed
+TEMPLATE_SHINGLES = 200_000  # shingles of all templates that are broadcast, some 10 MB; of more, all joins are shuffled ones
 SPLIT = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 
 #: Notices as they are commonly printed.
@@ -51,22 +51,15 @@ def shingles(tokens: Column) -> Column:
     return F.array_distinct(F.when(F.size(tokens) == 0, F.array().cast("array<string>")).otherwise(every))
 
 
-# slice() copies the whole array each time, so lambdas take their elements one by one.
-def banded(df: DataFrame, key: str, hashes: str, stride: int) -> DataFrame:
+def banded(df: DataFrame, key: str, hashes: str) -> DataFrame:
     """(key, band, low): a row per window and band of the rows' shingle hashes."""
     h = F.col(hashes)
-    starts = F.when(F.size(h) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size(h) - SPAN + stride - 1, F.lit(0)), F.lit(stride)))
-    parts = [F.coalesce(F.get("__w", F.lit(k)), F.get("__w", F.lit(0))) for k in range(SPAN)]
-    windows = df.select(key, F.explode(F.transform(starts, lambda i: F.array(*[F.get(h, i + k) for k in range(SPAN)]))).alias("__w")).select(key, *[p.alias(f"__h{k}") for k, p in enumerate(parts)])
+    none = F.array().cast("array<bigint>")
+    before = F.when(F.size(h) > 0, F.concat(F.slice(h, 1, 1), h)).otherwise(none)
+    after = F.when(F.size(h) > 0, F.concat(h, F.slice(h, -1, 1))).otherwise(none)
+    windows = df.select(key, F.explode(F.arrays_zip(before.alias("a"), after.alias("b"))).alias("w")).select(key, F.col("w.a").alias("a"), F.col("w.b").alias("b"))
     rows = windows.select("*", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-    return rows.select(key, "band", F.least(*[F.xxhash64("band", f"__h{k}") for k in range(SPAN)]).alias("low"))
-
-
-def leads(known: DataFrame, similarity: float) -> DataFrame:
-    """(license_id, low): of each template's n distinct shingles the first n - m + 1, m being the least number that is enough."""
-    h = F.array_distinct(shingle_hashes(F.col("tokens")))
-    few = F.size(F.filter(F.sequence(F.lit(0), F.size("h")), lambda m: m / F.size("h") < similarity))
-    return known.select("license_id", h.alias("h")).select("license_id", F.explode(F.slice("h", 1, F.greatest(F.size("h") - F.greatest(few, F.lit(1)) + 1, F.lit(0)))).alias("low"))
+    return rows.select(key, "band", F.least(F.xxhash64("band", "a"), F.xxhash64("band", "b")).alias("low"))
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
@@ -82,25 +75,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
     """
     spark = docs.sparkSession
     known = stage(template_table(spark, templates or TEMPLATES).filter(F.size("tokens") > 0), "templates")
-    small = few_rows(known, TEMPLATE_ROWS)
-    side = F.broadcast if small else (lambda df: df)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    small = known.agg(F.sum(F.size("license_shingles"))).first()[0] or 0
+    side = F.broadcast if small <= TEMPLATE_SHINGLES else (lambda df: df)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     # From an array of one, the words are a generated column: no filter is pushed below it with the splitting inside its lambda.
     hashed = lambda df, *cols: df.select(*cols, F.explode(F.array(words(F.col("text")))).alias("tokens")).select(*cols, shingle_hashes(F.col("tokens")).alias("h"))
-    every = known.select(F.explode(shingle_hashes(F.col("tokens"))).alias("low")).distinct()
-    if small:
-        shingles_of = F.array(*[F.lit(r.low) for r in every.collect()]).cast("array<bigint>")
-        likely = hashed(own, "id", "text").filter(F.arrays_overlap("h", shingles_of)).select("id", "text")
-    else:
-        likely = own
-    likely = stage(likely.withColumn("key", F.xxhash64("id", "text")), "license-texts")
-    rows = hashed(likely, "key")
-    marks = banded(known.select("license_id", shingle_hashes(F.col("tokens")).alias("h")), "license_id", "h", 1).distinct()
-    by_band = banded(rows, "key", "h", STRIDE).join(side(marks), ["band", "low"]).select("key", "license_id")
-    # explode_outer: explode would add a filter on h below, with the words split inside its lambda.
-    by_lead = rows.select("key", F.explode_outer("h").alias("low")).join(side(leads(known, similarity)), "low").select("key", "license_id")
-    met = stage(by_band.unionByName(by_lead).distinct(), "license-candidates")
-    found = likely.join(F.broadcast(met) if few_rows(met) else met, "key").join(side(known.select("license_id", "license_shingles")), "license_id")
+    marks = banded(known.select("license_id", shingle_hashes(F.col("tokens")).alias("h")), "license_id", "h").distinct()
+    met = banded(hashed(own, "key"), "key", "h").join(side(marks), ["band", "low"]).select("key", "license_id").distinct()
+    met = stage(met, "license-candidates")
+    found = own.join(F.broadcast(met) if few_rows(met) else met, "key").join(side(known.select("license_id", "license_shingles")), "license_id")
     # The words are a column of their own: inside the shingles' lambda they would be split anew for each shingle.
     found = found.select("id", "license_id", "license_shingles", words(F.col("text")).alias("tokens")).select("id", "license_id", "license_shingles", shingles(F.col("tokens")).alias("own"))
     # Exploded from an array of one, the count is out of the filter's reach, which else would be pushed below with the words inside the lambda.

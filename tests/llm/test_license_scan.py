@@ -44,6 +44,7 @@ def test_matches_brute_force(spark):
 
 def test_many_candidates_are_joined(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "few_rows", lambda df, *limit: False)
+    monkeypatch.setattr(license_scan, "TEMPLATE_SHINGLES", 0)
     docs = spark.createDataFrame([(1, "Released under the MIT License.")] * 3, "doc_id long, text string")
     assert license_scan.scan(docs).count() == 3
 
@@ -60,7 +61,24 @@ def test_a_lone_shingle_is_always_met(spark):
     assert sorted(r.id for r in license_scan.scan(docs).collect()) == list(range(600))
 
 
-def test_leads_are_as_many_as_the_similarity_lets_be_missing(spark):
-    known = license_scan.template_table(spark, [(str(n), " ".join(f"w{k}" for k in range(n))) for n in (1, 5, 6, 9, 14, 104)])
-    count = lambda s: {r.license_id: r["count"] for r in license_scan.leads(known, s).groupBy("license_id").count().collect()}
-    assert count(0.8) == {"1": 1, "5": 1, "6": 1, "9": 2, "14": 3, "104": 21} and set(count(1.0).values()) == {1}
+def test_bands_alone_find_templates(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, license_scan.TEMPLATES[4][1]), (2, license_scan.TEMPLATES[3][1])], "doc_id long, text string")
+    assert license_scan.scan(docs).count() == 3  # the long notice begins with the short one
+    banded = license_scan.banded
+    monkeypatch.setattr(license_scan, "banded", lambda *a: banded(*a).limit(0))
+    assert license_scan.scan(docs).count() == 0
+
+
+def test_lone_shingles_of_longer_templates(spark):
+    """Four of the five shingles of a template, each far from the others."""
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    templates = [(str(k), " ".join(word() for _ in range(9))) for k in range(40)]
+    texts = []
+    for i in range(400):
+        words = rng.choice(templates)[1].split()
+        parts = [words[k : k + 5] for k in rng.sample(range(5), 4)]
+        texts.append((i, " ".join(" ".join([word() for _ in range(7)] + p) for p in parts)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted(((r.id, r.license_id, r.n_shared, r.n_shingles) for r in license_scan.scan(docs, templates).collect()), key=str)
+    assert got == brute(texts, templates) and len(got) == 400
