@@ -88,7 +88,7 @@ def test_both_dictionaries_are_trained_on_windows():
     toxic, ordinary = [text(rng, True).encode() for _ in range(120)], [text(rng, False).encode() for _ in range(300)]
     t, o = toxicity._dictionaries(toxic, ordinary)
     front = t[: len(t) - len(o.lstrip(b" "))]
-    assert len(t) == len(o) and t.endswith(o[len(front) :]) and all(any(b[i : i + 8].encode() in t for i in range(len(b) - 7)) and b.encode() not in o for b in BAD)
+    assert len(t) == len(o) and t.endswith(o[len(front) :]) and all(any(b[i : i + 6].encode() in front for i in range(len(b) - 5)) and b.encode() not in o for b in BAD)
     words = {w for d in ordinary for w in d.split()}
     assert sum(w in words for w in o.split()) > 100
     # Pieces of toxic text as they stand, not a list of words: most of what the toxic dictionary holds is found in some toxic text whole.
