@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +48,34 @@ def lint_hits(of: DataFrame, per_file: int = LIMITS.lint_per_file) -> DataFrame:
     return hits.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("line", "rule"))).filter(F.col("n") <= per_file).drop("n")
 
 
+def unsafe_patterns(files: DataFrame, per_file: int = LIMITS.lint_per_file) -> DataFrame:
+    """files (rel, ext, text) -> hits, as of ``lint_hits``, of the first rule: pattern literals of scripts with a loop that reads one word in two ways.
+
+    The lexer tells patterns from divisions, strings and comments. Each distinct pattern is judged once, however many files hold it.
+    """
+    from graphlake.functions.ambiguity import ambiguous
+    from graphlake.operators.script import Source
+
+    title, _, severity, confidence = rules.LINT_RULES[0]
+
+    def literals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for rel, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = Source(text)
+                rows += [(rel, s.line(at), pattern) for at, pattern in s.patterns]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.string(), pa.int32(), pa.string()), strict=True)], names=["file", "line", "pattern"])
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([ambiguous(p) for p in b.column(0).to_pylist()], pa.bool_()))
+
+    found = files.filter(F.col("ext").isin(rules.SCRIPTS) & F.col("text").isNotNull()).select("rel", "text").mapInArrow(literals, "file string, line int, pattern string")
+    bad = found.select("pattern").distinct().mapInArrow(judged, "pattern string")
+    hits = found.join(bad, "pattern").select("file", "line", F.lit(100).alias("rule"), F.lit(title).alias("title"), F.lit("security").alias("dimension"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"))
+    return hits.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("line"))).filter(F.col("n") <= per_file).drop("n")
+
+
 def large_files(files: DataFrame) -> DataFrame:
     """Source files of over 600 lines; from 1200 on graver."""
     big = files.filter(F.col("text").isNotNull() & (F.col("loc") > 600))

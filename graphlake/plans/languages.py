@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlake.operators import extract, resolve
+from graphlake.operators import lines as text_lines
 from graphlake.operators.graph import settled
 from graphlake.plans.tables import of, table
 from graphlake.sources import files as src
@@ -143,3 +144,23 @@ def own_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = resolve.symbol_graph(files, settled(extract.extracted(files)))[1]
     # A definition is a reference too, so a helper that is defined again seems to call the last.
     return edges.filter("kind = 'calls' and contains(dst, '#helper@') and not contains(src, '#helper@')").select("src", "dst")
+
+
+#: Patterns and whether a loop of them reads some word in two ways.
+PATTERNS = [
+    (r"^(a+)+$", True), (r"[a-z]+-\d+", False), (r"(\w+\s?)*$", True), (r"(ab)*", False), (r"(a|[ab])+x", True), (r"(\w+,)*\w+", False), (r"(x+x+)+y", True), (r"^(?:[0-9]{2,4};)+$", False), (r"(.*)*=", True), (r"a{3}b{2,}", False),
+]
+SQL_BAD = ", ".join(str(k) for k, (_, bad) in enumerate(PATTERNS) if bad)
+
+
+@of(f"""WITH h AS (SELECT 'lib/p' || (p_partkey // 200) || '.js' AS file, CAST(2 * row_number() OVER (PARTITION BY p_partkey // 200 ORDER BY p_partkey) AS INT) AS line, p_partkey % {len(PATTERNS)} AS kind FROM part)
+SELECT file, line FROM h WHERE kind IN ({SQL_BAD}) QUALIFY row_number() OVER (PARTITION BY file ORDER BY line) <= 10""")
+def unsafe_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern literals, each after a line that only speaks of one."""
+    k = F.col("p_partkey")
+    pattern = F.element_at(F.array(*[F.lit(p) for p, _ in PATTERNS]), (k % len(PATTERNS) + 1).cast("int"))
+    line = F.concat(F.lit("const s = '/(a+)+/'; // /(a+)+/\nconst r"), k.cast("string"), F.lit(" = /"), pattern, F.lit("/;"))
+    rows = table(spark, sf_dir, "part").select(F.floor(k / 200).cast("string").alias("g"), k.alias("k"), line.alias("t"))
+    text = rows.groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda s: s["t"]), "\n").alias("text"))
+    files = text.select(F.concat(F.lit("lib/p"), "g", F.lit(".js")).alias("rel"), F.lit(".js").alias("ext"), "text")
+    return text_lines.unsafe_patterns(files).select("file", "line")
