@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlake.config import LIMITS
 from graphlake.functions import rules
 from graphlake.functions.scalars import dirname, normal_path
 from graphlake.operators.query import symbol_at
+from graphlake.operators.staged import settled
 
 #: What is tried after a relative path, in this order.
 PROBED = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py"]
@@ -52,17 +53,24 @@ def import_graph(files: DataFrame, imports: DataFrame) -> DataFrame:
     return imports.join(found, ["rel", "spec"]).filter("rel <> target").select(F.col("rel").alias("source"), "target", "spec")
 
 
+def _starts(per: DataFrame) -> DataFrame:
+    """per (file, n) -> (file, start): the sum of n over the files before, by name.
+
+    Files are dealt into ranges of names, each summed in its task; only the sums of the ranges are summed in one.
+    """
+    dealt = settled(per.repartitionByRange("file").withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("range").agg(F.sum("n").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    own = F.sum("n").over(Window.partitionBy("range").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.withColumn("own", F.coalesce(own, F.lit(0))).join(F.broadcast(offsets), "range").select("file", (F.col("offset") + F.col("own")).alias("start"))
+
+
 def symbols_of(extracted: DataFrame) -> DataFrame:
     """Symbols with id, ord (file, then place in it), tags and the id of their class."""
-    from pyspark.sql import Window
-
     s = extracted.select("file", F.posexplode("symbols").alias("at", "s")).select("file", "at", "s.*")
     s = s.withColumn("id", F.concat("file", F.lit("#"), "name", F.lit("@"), F.col("line").cast("string")))
     s = s.withColumn("tags", rules.tags(F.col("name"), F.col("signature"), F.col("doc"))).withColumn("loc", F.col("end_line") - F.col("line") + 1)
-    per = s.groupBy("file").agg(F.count("*").alias("n"))
-    # Files are few against symbols; one number a file goes through a running sum.
-    start = per.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("file", "start")
-    s = s.join(start, "file").withColumn("ord", F.col("start") + F.col("at")).drop("start", "at")
+    s = s.join(_starts(s.groupBy("file").agg(F.count("*").alias("n"))), "file").withColumn("ord", F.col("start") + F.col("at")).drop("start", "at")
     owner = s.filter("kind in ('class', 'interface')").groupBy("file", F.col("name").alias("container")).agg(F.max_by("id", "ord").alias("owner"))
     return s.join(owner, ["file", "container"], "left").drop("container").withColumnRenamed("owner", "container")
 

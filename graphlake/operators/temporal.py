@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlake.functions.scalars import candidate_score, live_at
+from graphlake.operators import nearest
 
 
 def as_of(rows: DataFrame, at: object) -> DataFrame:
@@ -53,31 +52,16 @@ def conflicts(edges: DataFrame, claim: str = "claim") -> DataFrame:
     return edges.groupBy(claim).agg(F.count_if(F.col("rel") == "SUPPORTS").alias("supports"), F.count_if(F.col("rel") == "CONTRADICTS").alias("contradicts"))
 
 
-def _norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-
-
-def semantic_search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int = 2000, types: list[str] | None = None, at: object = None) -> DataFrame:
+def semantic_search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, types: list[str] | None = None, at: object = None) -> DataFrame:
     """vectors (id, v), queries (query, q) -> (query, id, score, rank): the ``k`` likeliest by cosine for each query, by id on ties.
 
-    Norms are taken once per row. A block of at most about ``block`` queries is broadcast at a time and stands against all vectors; each
-    partition keeps its own best before the rest is compared. ``types`` and ``at`` keep vectors (.., type, valid_from, valid_to) of those types that are valid then.
+    Exact, by pivots (``nearest``). ``types`` and ``at`` keep vectors (.., type, valid_from, valid_to) of those types that are valid then.
     """
     if types:
         vectors = vectors.filter(F.col("type").isin(types))
     if at is not None:
         vectors = vectors.filter(live_at(F.lit(at)))
-    blocks = max(1, -(-queries.count() // block))
-    dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norms = F.col("nv") * F.col("nq")
-    score = F.round(F.when(norms == 0, 0.0).otherwise(dot / F.nullif(norms, F.lit(0.0))), digits)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    normed, found = vectors.select("id", "v", _norm(F.col("v")).alias("nv")), []
-    for b in range(blocks):
-        mine = queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).select("query", "q", _norm(F.col("q")).alias("nq"))
-        scored = normed.join(F.broadcast(mine)).select("query", "id", score.alias("score"))
-        found.append(scored.withColumn("rank", rank).filter(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, found)
+    return nearest.search(vectors, queries, k, digits)
 
 
 def with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -217,6 +217,16 @@ def symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query.search(_symbols(spark, sf_dir), "ring").select("id", F.col("score").cast("long").alias("score"))
 
 
+@of(f"""WITH {_sql_symbols()}, q AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS query FROM part WHERE p_partkey % 100 = 0),
+r AS (SELECT query, id, CASE WHEN lower(name) = query THEN 100 WHEN starts_with(lower(name), query) THEN 70 WHEN contains(lower(name), query) THEN 45 WHEN tag = query THEN 35 WHEN contains(lower(signature), query) THEN 20 END
++ least(15, fan_in) + CASE WHEN exported THEN 5 ELSE 0 END AS score FROM s, q), n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM r WHERE score IS NOT NULL)
+SELECT query, CAST(rank AS INT) AS rank, id, CAST(score AS BIGINT) AS score FROM n WHERE rank <= 30""")
+def symbol_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for the first word of every part's name whose id is divisible by 100."""
+    asked = table(spark, sf_dir, "part").filter("p_partkey % 100 = 0").select(F.get(F.split("p_name", " "), F.lit(0)).alias("query"))
+    return query.searches(_symbols(spark, sf_dir), asked).select("query", "rank", "id", F.col("score").cast("long").alias("score"))
+
+
 def _call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _calls(spark, sf_dir).select("src", "dst", F.lit("calls").alias("kind"))
 

@@ -130,3 +130,35 @@ def test_components_and_cycles(spark):
     tier = {r.node: r.tier for r in graph.tiers(edges).collect()}
     assert tier[7] == 0 and tier[6] == 1 and tier[5] == 2 and tier[3] == 1 + tier[4] and tier[10] == 1
     assert graph.strong_components(edges.filter("src > 100")).count() == 0
+
+
+def test_the_smallest_symbol_around_each_place(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(query, "RANGE", 7)
+    rng, symbols = random.Random(4), []
+    for k in range(120):  # not nested, equal ones among them
+        at = rng.randrange(1, 60)
+        symbols.append((f"f{k % 3}", at, at + rng.choice([0, 1, 5, 30]), f"s{k}", k, rng.choice(["function", "class"])))
+    places = [(f"f{rng.randrange(4)}", rng.randrange(1, 95), n, f"s{rng.randrange(120)}") for n in range(400)] + [(None, 3, 900, "s1"), ("f1", None, 901, "s1"), ("f1", 4, 7, "s0"), ("f1", 4, 7, "s0")]
+    s = spark.createDataFrame(symbols, "file string, line int, end_line int, id string, ord long, kind string")
+    p = spark.createDataFrame(places, "file string, line int, key int, target string")
+    for kinds, exclude in ((None, None), (["function"], "target")):
+        want = []
+        for file, line, key, target in places:
+            around = [(to - at, o, i) for f, at, to, i, o, kind in symbols if f == file and line is not None and at <= line <= to and (not kinds or kind in kinds) and (not exclude or i != target)]
+            want += [(file, line, key, target, min(around)[2])] if around else []
+        assert sorted(map(tuple, query.symbol_at(s, p, kinds, exclude).collect())) == sorted(want)
+    assert query.symbol_at(s.limit(0), p).count() == 0 == query.symbol_at(s, p.limit(0)).count()
+
+
+def test_many_searches_are_as_one_by_one(spark):
+    words = ["render", "Template", "renderTemplate", "x", "ab", "viewer", "VIEW", "tem", "é"]
+    rows = [(k, words[k % 9] + words[k * 7 % 9], f"function {words[k * 5 % 9]}(a)", words[k * 4 % 9] if k % 3 else None, k % 2 == 0, k % 20, [words[k % 4].lower()], k) for k in range(150)]
+    symbols = spark.createDataFrame(rows, "id long, name string, signature string, doc string, exported boolean, fan_in int, tags array<string>, ord long")
+    asked = ["render", " VIEW ", "x", "ab", "template", "nowhere", "r", "é", "function x", "x\u0000f", "", None, "x"]
+    got = query.searches(symbols, spark.createDataFrame([(q,) for q in asked], "query string"), 10)
+    for q in set(asked) - {None}:
+        want = [(r.id, r.score) for r in query.search(symbols, q, 10).collect()]
+        assert [(r.id, r.score) for r in got.filter(F.col("query") == q).orderBy("rank").collect()] == want, q
+    assert query.searches(symbols, spark.createDataFrame([("",)], "query string")).count() == 0
