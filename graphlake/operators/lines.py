@@ -40,11 +40,13 @@ def rule_hits(of: DataFrame, per_rule: int = LIMITS.hits_per_rule) -> DataFrame:
     return hits.withColumn("n", rank).filter(F.col("n") <= per_rule).drop("n")
 
 
-def lint_hits(of: DataFrame, per_file: int = LIMITS.lint_per_file) -> DataFrame:
-    """Line approximations of syntax-tree lint rules, script files only."""
+def lint_hits(of: DataFrame, files: DataFrame | None = None, per_file: int = LIMITS.lint_per_file) -> DataFrame:
+    """Line approximations of syntax-tree lint rules, script files only. With ``files`` (rel, ext, text) the first rule, of patterns, is no approximation (``unsafe_patterns``)."""
     ext = F.lower(F.regexp_extract("file", r"[^/](\.[^./]*)\z", 1))
-    found = [F.when(F.col("text").rlike(p), F.struct(F.lit(100 + k).alias("rule"), F.lit(t).alias("title"), F.lit("security").alias("dimension"), F.lit(s).alias("severity"), F.lit(c).alias("confidence"))) for k, (t, p, s, c) in enumerate(rules.LINT_RULES)]
+    found = [F.when(F.col("text").rlike(p), F.struct(F.lit(100 + k).alias("rule"), F.lit(t).alias("title"), F.lit("security").alias("dimension"), F.lit(s).alias("severity"), F.lit(c).alias("confidence"))) for k, (t, p, s, c) in enumerate(rules.LINT_RULES) if k or files is None]
     hits = of.filter(ext.isin(rules.SCRIPTS)).select("file", "line", F.explode(F.filter(F.array(*found), lambda h: h.isNotNull())).alias("h")).select("file", "line", "h.*")
+    if files is not None:
+        hits = hits.unionByName(unsafe_patterns(files, per_file))
     return hits.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("line", "rule"))).filter(F.col("n") <= per_file).drop("n")
 
 

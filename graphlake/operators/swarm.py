@@ -94,19 +94,20 @@ def tests(issues: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     bare = hubs.join(tested, "id", "left_anti").withColumn("blast", F.col("fan_in"))
     n = F.col("fan_in")
     new = _finding(bare, "test", F.least(F.lit(4), 2 + F.floor(n / 5)), F.lit(0.85), F.concat(F.lit("Untested core logic: "), "name"), F.lit("M"), 1_000_000_000 - (n + F.col("fan_out")) * 100_000 + F.col("ord"), F.col("id"))
-    return own.unionByName(new).orderBy("ord").limit(15)
+    both = own.withColumn("turn", F.lit(0)).unionByName(new.withColumn("turn", F.lit(1)))
+    return both.orderBy("turn", "ord").limit(15).drop("turn")
 
 
 Specialist = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 SPECIALISTS: dict[str, Specialist] = dict(zip(AGENTS, (security, performance, refactor, deadcode, dependency, architecture, tests), strict=True))
 
 
-def findings(issues: DataFrame, symbols: DataFrame, edges: DataFrame, specialists: dict[str, Specialist] | None = None) -> DataFrame:
-    """All specialists' findings, in their fixed order: ord is an order of agents, then of each one's own. A specialist whose plan can't be made is named in a warning and finds nothing; the others go on."""
+def findings(issues: DataFrame, symbols: DataFrame, edges: DataFrame, specialists: dict[str, Specialist] | None = None, run: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """All specialists' findings, in their fixed order: ord is an order of agents, then of each one's own. A specialist that can't be planned is named in a warning and finds nothing; the others go on. With ``run``, which computes a table and gives it back, the same holds for one that fails at run time."""
     found = []
-    for k, (name, run) in enumerate((specialists or SPECIALISTS).items()):
+    for k, (name, find) in enumerate((specialists or SPECIALISTS).items()):
         try:
-            found.append(run(issues, symbols, edges).withColumn("agent_ord", F.lit(k)))
+            found.append(run(find(issues, symbols, edges).withColumn("agent_ord", F.lit(k))))
         except Exception as e:  # noqa: BLE001
             warnings.warn(f"specialist {name} failed: {e}", stacklevel=2)
     if not found:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlake.functions import rules
-from graphlake.operators import extract, fix, query, resolve, score, swarm, temporal, timeline
+from graphlake.operators import extract, fix, index, query, resolve, score, swarm, temporal, timeline
 from graphlake.operators import lines as text_lines
 from graphlake.operators.graph import settled
-from graphlake.plans.tables import _calls, _sql_calls, of, table
+from graphlake.plans.tables import SQL_FINDINGS, _calls, _sql_calls, of, table
 from graphlake.sources import files as src
 
 PER_FILE = 40
@@ -251,22 +251,62 @@ def change_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 DEPENDENCY_TITLES = ["Unpinned dependency: a", "No lockfile", "Pre-1.0 dependency: b", "Deprecated: c"]
 
 
+ADVISED = [("security", r[0]) for r in rules.LINE_RULES] + [("dependency", t) for t in DEPENDENCY_TITLES] + [(a, "t") for a in swarm.AGENTS if a not in ("security", "dependency")]
+
+
 def _sql_advice() -> str:
-    titles = [("security", r[0]) for r in rules.LINE_RULES] + [("dependency", t) for t in DEPENDENCY_TITLES]
-    titles += [(a, "t") for a in swarm.AGENTS if a not in ("security", "dependency")]
-    rows = ", ".join(f"('{a}', '{t}')" for a, t in titles)
+    rows = ", ".join(f"({k}, '{a}', '{t}')" for k, (a, t) in enumerate(ADVISED))
     case = lambda pairs: "CASE " + " ".join(f"WHEN contains(lower(title), '{w}') THEN '{k}'" for w, k in pairs) + " ELSE 'review' END"
     security = case([("eval", "eval"), ("secret", "secret"), ("sql", "sql"), ("html", "html"), ("shell", "process"), ("process", "process")])
     dependency = case([("unpinned", "pin"), ("lockfile", "lock"), ("pre-1.0", "pin-tightly")])
     other = "CASE agent WHEN 'performance' THEN 'cache' WHEN 'refactor' THEN 'split' WHEN 'deadcode' THEN 'remove' WHEN 'architecture' THEN 'invert' ELSE 'cover' END"
-    return f"SELECT agent, title, CASE agent WHEN 'security' THEN {security} WHEN 'dependency' THEN {dependency} ELSE {other} END AS advice FROM (VALUES {rows}) v(agent, title)"
+    return f"SELECT p_partkey AS part, agent, title, CASE agent WHEN 'security' THEN {security} WHEN 'dependency' THEN {dependency} ELSE {other} END AS advice FROM part JOIN (VALUES {rows}) v(kind, agent, title) ON kind = p_partkey % {len(ADVISED)}"
 
 
 @of(_sql_advice())
 def finding_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = [("security", r[0]) for r in rules.LINE_RULES] + [("dependency", t) for t in DEPENDENCY_TITLES]
-    titles += [(a, "t") for a in swarm.AGENTS if a not in ("security", "dependency")]
-    return swarm.advised(spark.createDataFrame(titles, "agent string, title string"))
+    """A finding of each part, its title by the part's id."""
+    texts = F.array(*[F.struct(F.lit(a).alias("agent"), F.lit(t).alias("title")) for a, t in ADVISED])
+    k = F.col("p_partkey")
+    found = table(spark, sf_dir, "part").select(k.alias("part"), F.element_at(texts, (k % len(ADVISED) + 1).cast("int")).alias("f")).select("part", "f.*")
+    return swarm.advised(found).select("part", "agent", "title", "advice")
+
+
+def _full(spark: SparkSession, sf_dir: str) -> index.Index:
+    files = src.with_language(source_files(spark, sf_dir))
+    return index.index_files(files.withColumn("loc", text_lines.line_count(F.col("text"))))
+
+
+SQL_ALL_ISSUES = f"""{SQL_FILES}, {SQL_HITS}, iu AS (SELECT CASE WHEN h.z % 10 = 0 THEN 'correctness' ELSE 'maintainability' END AS dimension, 1 AS severity, 1 + fan_in AS blast FROM h JOIN fl ON fl.g = h.g WHERE nth <= 5 UNION ALL SELECT 'test_integrity', 4, 3),
+dw(dimension, weight) AS (VALUES {", ".join(f"('{d}', CAST({w} AS DOUBLE))" for d, w in rules.DIMENSIONS)}), dp AS (SELECT dw.dimension, weight, count(severity) AS issues, CAST(coalesce(sum(severity * blast), 0) AS DOUBLE) AS penalty FROM dw LEFT JOIN iu ON iu.dimension = dw.dimension GROUP BY ALL),
+ds AS (SELECT dimension, weight, issues, CAST(floor(greatest(0, least(100, 100 * exp(-0.06 * penalty / greatest(1, pow(log10(greatest((SELECT sum(loc) FROM fl), 10)), 2))))) + 0.5) AS BIGINT) AS score FROM dp)"""
+
+
+@of(f"WITH {SQL_ALL_ISSUES} SELECT dimension, issues, score, CAST(floor((SELECT sum(score * weight) FROM ds) + 0.5) AS BIGINT) AS overall FROM ds")
+def index_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole index of the rendered files: code and test issues, weighed by fan-in, to scores."""
+    own = _full(spark, sf_dir)
+    return own.scores.select("dimension", "issues", "score", own.overall().scalar().alias("overall"))
+
+
+SQL_SWARM = f"""{SQL_CODE}, sid AS (SELECT *, file || '#' || name || '@' || CAST(line AS BIGINT) AS id FROM sy), hb AS (SELECT *, row_number() OVER (ORDER BY ins + outs DESC, file, line) AS nth FROM sy),
+dd AS (SELECT *, row_number() OVER (ORDER BY file, line) AS nth FROM sy WHERE ins = 0),
+rr AS (SELECT src AS a, dst AS b FROM c UNION SELECT rr.a, c.dst FROM rr JOIN c ON rr.b = c.src), mm AS (SELECT x.a, x.b FROM rr x JOIN rr y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b),
+gg AS (SELECT a AS k, min(least(a, b)) AS label FROM mm GROUP BY a), cy AS (SELECT label, count(*) AS size, list_sort(list(id)) AS members FROM gg JOIN sid ON sid.k = gg.k GROUP BY label),
+fd AS (SELECT 'performance' AS agent, CAST(least(4, 2 + ins // 8) AS INT) AS severity, CAST(CASE WHEN ins > 20 THEN 0.8 ELSE 0.6 END AS DOUBLE) AS confidence, 'Hot path: ' || name || ' (' || ins || ' callers)' AS title, file, CAST(line AS INT) AS line, ins AS blast, 1 AS churn, 'M' AS effort, nth AS ord, 1 AS agent_ord FROM hb WHERE nth <= 8 AND ins >= 3
+UNION ALL SELECT 'deadcode', 2, CASE WHEN exported THEN 0.3 ELSE 0.8 END, 'Unreferenced function: ' || name, file, CAST(line AS INT), 1, 1, 'S', nth, 3 FROM dd WHERE nth <= 25
+UNION ALL SELECT 'architecture', 3, CASE WHEN size = 2 THEN 0.9 ELSE 0.7 END, 'Circular dependency: ' || array_to_string(members[1:3], ' → ') || CASE WHEN size > 3 THEN ' → …' ELSE '' END, '', 1, size, 1, 'M', -size, 5 FROM (SELECT * FROM cy ORDER BY size DESC, members[1] LIMIT 15)
+UNION ALL SELECT 'test', 4, 0.6, 'No test files detected', '.', 1, 3, 1, 'M', 0, 6
+UNION ALL SELECT 'test', CAST(least(4, 2 + ins // 5) AS INT), 0.85, 'Untested core logic: ' || name, file, CAST(line AS INT), ins, 1, 'M', nth, 6 FROM hb WHERE nth <= 14 AND ins >= 2),
+g0 {SQL_FINDINGS.split("g0 ", 1)[1]}"""
+
+
+@of(f"WITH RECURSIVE {SQL_SWARM} SELECT agent, severity, round(sure, 6) AS confidence, title, file, line, score, priority FROM jp")
+def swarm_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven specialists over the whole index, through critic and judge."""
+    found = settled(_full(spark, sf_dir).findings())
+    judged = swarm.judge(swarm.critic(found), 2_000_000_000)
+    return judged.select("agent", "severity", F.round("confidence", 6).alias("confidence"), "title", "file", "line", "score", "priority")
 
 
 @of("SELECT 'v' || (p_partkey % 7) AS source, p_size % 5 AS size, 'v' || (p_partkey % 7) || '@' || CASE WHEN p_size % 5 = 0 THEN '-' ELSE CAST(p_size % 5 AS VARCHAR) END || ':-' AS root FROM part GROUP BY ALL")

@@ -70,7 +70,7 @@ SQL_SCORES = (
 def dimension_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = text_lines.rule_hits(doc_lines(spark, sf_dir)).withColumn("blast", F.lit(1))
     counted = table(spark, sf_dir, "documents").filter("text is not null").agg(F.sum(F.size(F.split("text", "\n", -1))).alias("loc"))
-    return score.dimension_scores(issues, counted.first()["loc"] or 0)
+    return score.dimension_scores(issues, F.coalesce(counted.scalar().cast("double"), F.lit(0.0)))
 
 
 @of(f"WITH {SQL_SCORES} SELECT CAST(floor(sum(score * weight) + 0.5) AS BIGINT) AS overall FROM s")
