@@ -7,7 +7,7 @@ import dataclasses
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.operators import extract, lines, resolve, score, swarm
+from graphlake.operators import extract, fix, lines, resolve, score, swarm, timeline
 from graphlake.operators.staged import settled
 from graphlake.sources import files as src
 
@@ -87,3 +87,56 @@ def index_files(files: DataFrame, churn: DataFrame | None = None, manifests: Dat
     placed = score.module_of(counted.withColumn("file", F.col("rel"))).drop("file")
     scores = score.dimension_scores(issues, files.agg(F.sum("loc").cast("double")).scalar())
     return Index(placed, links, issues, symbols, settled(edges), scores)
+
+
+@dataclasses.dataclass(frozen=True)
+class Evolution:
+    """metrics of the newer snapshot and, if there is one, of the older; events; issues that came or went; health of each module."""
+
+    metrics: DataFrame
+    baseline: DataFrame | None
+    events: DataFrame
+    issues: DataFrame
+    health: DataFrame
+
+
+def _metrics(own: Index) -> DataFrame:
+    mods, between = own.modules()
+    nodes = own.files.withColumn("id", F.col("rel"))
+    return score.architecture_metrics(nodes, own.links.withColumn("kind", F.lit("imports")), mods, between)
+
+
+def evolution(older: Index | None, newer: Index) -> Evolution:
+    """What lies between two snapshots; without an older one every file is the one event, and all issues are introduced."""
+    health = lambda own: own.modules()[0].select("module", "loc", "issues")
+    if older is None:
+        return Evolution(_metrics(newer), None, timeline.baseline(newer.files), timeline.issue_diff(newer.issues.limit(0), newer.issues), timeline.module_health(None, health(newer)))
+    named = older.symbols.select("id", "name", "kind").unionByName(newer.symbols.select("id", "name", "kind")).dropDuplicates(["id"])
+    symbols = timeline.node_diff(older.symbols, newer.symbols).join(named, "id")
+    files = timeline.node_diff(*[own.files.withColumn("id", F.col("rel")) for own in (older, newer)])
+    links = timeline.edge_diff(older.links.select("source", "target"), newer.links.select("source", "target"), "source", "target")
+    return Evolution(_metrics(newer), _metrics(older), timeline.events(symbols, files, links), timeline.issue_diff(older.issues, newer.issues), timeline.module_health(health(older), health(newer)))
+
+
+@dataclasses.dataclass(frozen=True)
+class FixRun:
+    """edits; the index of the files after them; what changed; one row (before, after): the overall scores."""
+
+    edits: DataFrame
+    after: Index
+    evolution: Evolution
+    scores: DataFrame
+
+
+def fixed(files: DataFrame, before: Index | None = None) -> FixRun:
+    """files (rel, ext, language, text, loc, ord) through all fixers, indexed and scored anew. A file without edits or without text stays as it is."""
+    before = before or index_files(files)
+    own = settled(lines.lines(files.filter("text is not null")))
+    edits = settled(fix.merged(own))
+    new = fix.patched(own, edits).withColumnsRenamed({"file": "rel", "text": "new"})
+    text = F.coalesce("new", "text")
+    changed = files.join(new, "rel", "left").withColumn("loc", F.when(F.col("new").isNotNull(), lines.line_count(F.col("new"))).otherwise(F.col("loc"))).withColumn("text", text).drop("new")
+    after = index_files(changed)
+    one = lambda index, name: index.overall().select(F.col("overall").alias(name))
+    scores = one(before, "before").withColumn("after", one(after, "after").scalar())
+    return FixRun(edits, after, evolution(before, after), scores)

@@ -329,3 +329,10 @@ def file_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 @of("SELECT 'FEATURE_INTRODUCED' AS category, '' AS subject, count(*) AS n FROM part")
 def first_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.baseline(table(spark, sf_dir, "part"))
+
+
+@of(f"WITH {SQL_CODE}, {SQL_HITS} SELECT file, CASE WHEN z % 10 = 0 THEN 'Leftover debug output' ELSE 'TODO/FIXME marker' END AS title, 'resolved' AS change, count(*) AS n FROM h WHERE nth <= 5 GROUP BY ALL")
+def fix_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered files indexed, put through all fixers, indexed again: what has gone from and come to the issues."""
+    files = src.with_language(source_files(spark, sf_dir)).withColumn("loc", text_lines.line_count(F.col("text")))
+    return index.fixed(settled(files)).evolution.issues.groupBy("file", "title", "change").agg(F.count("*").alias("n"))

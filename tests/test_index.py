@@ -45,3 +45,18 @@ def test_the_whole_swarm_and_one_that_fails_at_run_time(spark):
 
     left = swarm.findings(own.issues, own.symbols, own.edges, {"security": swarm.security, "bad": bad}, settled)
     assert {r.agent for r in left.collect()} == {"security"}
+
+
+def test_evolution_and_a_fix_run(spark):
+    tree = TREE | {"src/app/b.ts": "export function run(x) {\n  console.log(x);\n  // TODO: more\n}\n"}
+    rows = [(rel, text, k) for k, (rel, text) in enumerate(tree.items())]
+    files = src.with_language(spark.createDataFrame(rows, "rel string, text string, ord long")).withColumn("loc", lines.line_count(F.coalesce("text", F.lit(""))))
+    run = index.fixed(files)
+    assert {(r.file, r.title, r.change) for r in run.evolution.issues.collect()} == {("src/app/b.ts", "Leftover debug output", "resolved"), ("src/app/b.ts", "TODO/FIXME marker", "resolved")}
+    assert [(r.file, r.line, r.fixer) for r in run.edits.orderBy("line").collect()] == [("src/app/b.ts", 2, "remove-debug-output"), ("src/app/b.ts", 3, "remove-todo-marker")]
+    before, after = run.scores.first()
+    assert before <= after
+    assert run.evolution.events.count() == 0 and {r.module: (r.growth, r.stability) for r in run.evolution.health.collect()} == {"src": (-2, 100), "(root)": (0, 100)}
+    assert run.evolution.metrics.count() == 1 == run.evolution.baseline.count()
+    first = index.evolution(None, run.after)
+    assert [(r.category, r.n) for r in first.events.collect()] == [("FEATURE_INTRODUCED", 4)] and {r.change for r in first.issues.collect()} == {"introduced"}
