@@ -41,11 +41,11 @@ def _fine(df: DataFrame, name: str, v: str) -> tuple[DataFrame, DataFrame]:
     return own.filter(some), own.filter(~some)
 
 
-def _met(placed: DataFrame, asked: DataFrame, sizes: dict[int, int], k: int, digits: int, kinds: tuple[str, str]) -> DataFrame:
+def _met(placed: DataFrame, asked: DataFrame, sizes: dict[int, int], k: int, digits: int, kinds: tuple[str, str], block: int) -> DataFrame:
     """placed (cell, far, id, v), asked (query, v, cells, near, bound) -> (query, id, score, seen): the k best of each meeting, and a row without id that says how many vectors were compared."""
     spark = placed.sparkSession
     visits = {r.cell: r["count"] for r in asked.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()}  # no more rows than pivots
-    parts = [(c, max(1, -(-sizes[c] // ROW_BLOCK)), -(-n // QUERY_BLOCK)) for c, n in visits.items()]
+    parts = [(c, max(1, -(-sizes[c] // ROW_BLOCK)), -(-n // block)) for c, n in visits.items()]
     cut = F.broadcast(spark.createDataFrame(parts, "cell int, rows int, queries int"))
     part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -83,7 +83,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def meetings(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame | None:
+def meetings(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame | None:
     """(query, id, score, seen) of all meetings of vectors and queries that have a direction; None if there are none of one side."""
     kinds = queries.schema["query"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
     own, asks = settled(_fine(vectors, "id", "v")[0]), settled(_fine(queries, "query", "q")[0])
@@ -126,7 +126,7 @@ def meetings(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) ->
 
     asked = settled(asks.select("query", padded).mapInArrow(first, f"query {kinds[0]}, v array<double>, cells array<int>, near array<double>"))
     count = dict(zip(numbers.tolist(), sizes.tolist(), strict=True))
-    found = _met(placed, asked.withColumn("bound", F.lit(4.0)), count, k, digits, kinds)
+    found = _met(placed, asked.withColumn("bound", F.lit(4.0)), count, k, digits, kinds, block)
     # A rounded score may stand for one half a place lower.
     last = _best(found.filter("id is not null"), k).groupBy("query").agg(F.when(F.count("*") == k, F.min("score")).alias("last"))
     reach = F.coalesce(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (F.col("last") - 10.0**-digits))) + ROUNDING, F.lit(4.0))
@@ -145,10 +145,10 @@ def meetings(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) ->
     again = settled(again.mapInArrow(others, f"query {kinds[0]}, v array<double>, bound double, cells array<int>, near array<double>"))
     if again.filter(F.size("cells") > 0).isEmpty():
         return found
-    return found.unionByName(_met(placed, again, count, k, digits, kinds))
+    return found.unionByName(_met(placed, again, count, k, digits, kinds, block))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
     """vectors (id, v), queries (query, q), names of either without repeats -> (query, id, score, rank): the ``k`` largest cosines, rounded, equal ones by id.
 
     A zero vector has cosine 0 with all. Vectors that are null, empty or hold null or non-finite components take no part on either side; shorter ones count as continued by zeros.
@@ -163,6 +163,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> D
 
     # The first zero vectors for all queries, the first of all vectors for zero queries.
     parts = [flatly(asks, flat.select("id")), flatly(none, own.select("id").unionByName(flat.select("id")))]
-    met = meetings(vectors, queries, k, digits)
+    met = meetings(vectors, queries, k, digits, block)
     found = parts[0].unionByName(parts[1])
     return _best(found if met is None else found.unionByName(met.filter("id is not null").select("query", "id", "score")), k).select("query", "id", "score", "rank")

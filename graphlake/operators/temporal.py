@@ -52,16 +52,16 @@ def conflicts(edges: DataFrame, claim: str = "claim") -> DataFrame:
     return edges.groupBy(claim).agg(F.count_if(F.col("rel") == "SUPPORTS").alias("supports"), F.count_if(F.col("rel") == "CONTRADICTS").alias("contradicts"))
 
 
-def semantic_search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, types: list[str] | None = None, at: object = None) -> DataFrame:
+def semantic_search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int = nearest.QUERY_BLOCK, types: list[str] | None = None, at: object = None) -> DataFrame:
     """vectors (id, v), queries (query, q) -> (query, id, score, rank): the ``k`` likeliest by cosine for each query, by id on ties.
 
-    Exact, by pivots (``nearest``). ``types`` and ``at`` keep vectors (.., type, valid_from, valid_to) of those types that are valid then.
+    Exact, by pivots (``nearest``); about ``block`` queries meet a block of vectors at a time. ``types`` and ``at`` keep vectors (.., type, valid_from, valid_to) of those types that are valid then.
     """
     if types:
         vectors = vectors.filter(F.col("type").isin(types))
     if at is not None:
         vectors = vectors.filter(live_at(F.lit(at)))
-    return nearest.search(vectors, queries, k, digits)
+    return nearest.search(vectors, queries, k, digits, block)
 
 
 def with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -33,10 +33,9 @@ def table(spark, rows, name, v):
 @pytest.mark.parametrize("blocks", [(32_768, 4096), (15, 3)])
 def test_matches_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(nearest, "ROW_BLOCK", blocks[0])
-    monkeypatch.setattr(nearest, "QUERY_BLOCK", blocks[1])
     vectors = drawn(300, 8, 12, 0.4) + [(1000 + k, drawn(1, 8, 1, 0)[0][1]) for k in range(8)] + [(2000, [0.0] * 8), (2001, [0.0] * 8), (2002, None), (2003, [None] * 8), (2004, [float("nan")] * 8), (2005, [])]
     queries = [(k, v) for k, v in vectors if k % 10 == 0]
-    got = nearest.search(table(spark, vectors, "id", "v"), table(spark, queries, "query", "q"), 7)
+    got = nearest.search(table(spark, vectors, "id", "v"), table(spark, queries, "query", "q"), 7, block=blocks[1])
     assert sorted((r.query, r.id, r.score + 0.0, r["rank"]) for r in got.collect()) == brute(vectors, queries, 7)
     few = table(spark, vectors[:3], "id", "v")
     assert nearest.search(few, table(spark, queries, "query", "q"), 7).count() == 3 * sum(bool(v) and None not in v and not np.isnan(v).any() for _, v in queries)
