@@ -51,7 +51,8 @@ def _byte_side(path: str) -> tuple[Callable[[list[str]], list[np.ndarray]], list
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     made = [model["vocab"].get("".join(m), -1) for m in merges]
     ranked = all(x < y for x, y in zip(made, made[1:], strict=False)) and not model.get("ignore_merges")
-    by_rank = tiktoken.Encoding("ranks", pat_str=BYTE_CHUNK, mergeable_ranks={data[i]: i for i in model["vocab"].values() if i <= max(made, default=0)}, special_tokens={}) if ranked and made else None
+    top = max(made, default=0)
+    by_rank = tiktoken.Encoding("ranks", pat_str=BYTE_CHUNK, mergeable_ranks={data[i]: i for i in model["vocab"].values() if i <= top}, special_tokens={}) if ranked and made else None
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
