@@ -162,3 +162,13 @@ def test_many_searches_are_as_one_by_one(spark):
         want = [(r.id, r.score) for r in query.search(symbols, q, 10).collect()]
         assert [(r.id, r.score) for r in got.filter(F.col("query") == q).orderBy("rank").collect()] == want, q
     assert query.searches(symbols, spark.createDataFrame([("",)], "query string")).count() == 0
+
+
+def test_resolution_broadcasts_no_symbols(spark):
+    from graphlake.operators.staged import settled
+
+    files = settled(spark.range(400).selectExpr("concat('m/f', id, '.py') rel", "'.py' ext", "id ord", "repeat('def helper(x):\\n  return helper(x)\\n', 50) text"))
+    symbols, edges = resolve.symbol_graph(files, settled(extract.extracted(files)))
+    for df in (symbols, edges):
+        joins = [x for x in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "BroadcastHashJoin" in x]
+        assert joins and all("BroadcastHashJoin [range" in x for x in joins)  # sums of ranges alone, a row for each
