@@ -164,6 +164,16 @@ def test_many_searches_are_as_one_by_one(spark):
     assert query.searches(symbols, spark.createDataFrame([("",)], "query string")).count() == 0
 
 
+def test_python_holds_few_files_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"n": list(range(100))})
+    assert [b.num_rows for b in extract.sliced(iter([batch]), 32)] == [32, 32, 32, 4]
+    assert [n for b in extract.sliced(iter([batch, batch]), 7) for n in b.column(0).to_pylist()] == [*range(100)] * 2
+    files = spark.range(100, numPartitions=1).selectExpr("concat('f', id, '.py') rel", "'.py' ext", "concat('def g', id, '():\\n  pass\\n') text")
+    assert {(r.file, r.symbols[0].name) for r in extract.extracted(files).collect()} == {(f"f{k}.py", f"g{k}") for k in range(100)}
+
+
 def test_resolution_broadcasts_no_symbols(spark):
     from graphlake.operators.staged import settled
 
