@@ -182,3 +182,14 @@ def test_resolution_broadcasts_no_symbols(spark):
     for df in (symbols, edges):
         joins = [x for x in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "BroadcastHashJoin" in x]
         assert joins and all("BroadcastHashJoin [range" in x for x in joins)  # sums of ranges alone, a row for each
+
+
+def test_links_to_large_directories_are_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK", 4)
+    files = [(f"{d}/f{k}.go", ".go", k) for d in ("pkg/a", "pkg/b") for k in range(30)]
+    wanted = [(f, f"host/pkg/{'b' if f.startswith('pkg/a') else 'a'}") for f, _, _ in files] + [("pkg/a/f0.go", "host/pkg/b"), ("pkg/a/f1.go", "fmt")]
+    links = resolve.import_graph(spark.createDataFrame(files, "rel string, ext string, ord int"), spark.createDataFrame(wanted, "rel string, spec string"))
+    got = sorted((r.source, r.target, r.spec) for r in links.collect())
+    assert got == sorted((f, t, s) for f, s in wanted for t, _, _ in files if s != "fmt" and t.startswith(s[5:]))  # a repeated import is a repeated link
+    sizes = [r[0] for r in links.groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]
+    assert len(sizes) > 50 and max(sizes) < len(got) / 10
