@@ -60,3 +60,25 @@ def test_evolution_and_a_fix_run(spark):
     assert run.evolution.metrics.count() == 1 == run.evolution.baseline.count()
     first = index.evolution(None, run.after)
     assert [(r.category, r.n) for r in first.events.collect()] == [("FEATURE_INTRODUCED", 4)] and {r.change for r in first.issues.collect()} == {"introduced"}
+
+
+def test_long_rendered_files_are_no_issue_of_the_queries(spark, tmp_path):
+    """A part with 700 calls makes a file of over 600 lines, which the queries' SQL doesn't count; the index itself does, unless told not to."""
+    import duckdb
+
+    from graphlake.plans import code
+    from graphlake.plans.tables import QUERIES
+
+    d = str(tmp_path)
+    spark.range(720).selectExpr("id p_partkey", "cast(id % 10 as int) p_size").write.parquet(f"{d}/part.parquet")
+    spark.range(1400).selectExpr("id div 2 l_orderkey", "cast(id % 2 as int) l_linenumber", "if(id % 2 = 0, 0, 10 + id div 2) l_partkey", "1L l_suppkey", "'R' l_returnflag").write.parquet(f"{d}/lineitem.parquet")
+    db = duckdb.connect()
+    for t in ("part", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+    for name in ("index_scores", "fix_run"):
+        run, sql = QUERIES[name]
+        assert sorted(map(tuple, run(spark, d).collect())) == sorted(db.execute(sql).fetchall())
+    long = src.with_language(code.source_files(spark, d)).withColumn("loc", lines.line_count(F.col("text"))).filter("loc > 600")
+    known = long.withColumn("fan_in", F.lit(0)).withColumn("churn", F.lit(1))
+    of = lambda **o: index.all_issues(known, **o).filter("title like 'Large file%'").count()
+    assert long.count() == 1 == of() and of(long_files=False) == 0
