@@ -71,3 +71,17 @@ def test_no_request_without_verification(spark):
     got = fix.pull_request(fix.verified(run(0), run(2)), edits).collect()
     assert len(got) == 1 and got[0].title == "chore: apply safe fixes (+2 health)" and "- `remove-todo-marker`: 1 edit(s)" in got[0].body
     assert fix.pull_request(fix.verified(run(2), run(0)), edits).count() == 0
+
+
+def test_walks_carry_no_paths(spark, monkeypatch):
+    """Ladders of two nodes a rung: many shortest paths of one length, the least of which counts; only the result holds arrays."""
+    edges = spark.createDataFrame([(f"{r}{a}", f"{r + 1}{b}", "calls", 0, None) for r in range(1, 8) for a in "xy" for b in "xy"], "src string, dst string, rel string, valid_from int, valid_to int")
+    seeds = spark.createDataFrame([("1x",), ("1y",)], "seed string")
+    ends = [f"{r}{a}" for r in range(1, 9) for a in "xy"]
+    want = {(s, d): [s, *(f"{r}x" for r in range(2, int(d[0]))), d][: int(d[0])] for s in ("1x", "1y") for d in ends if d[0] != "1" or s == d}
+    written, keep = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: written.append(df.columns) or keep(df))
+    assert {(r.src, r.dst): r.path for r in graph.paths_from(edges, seeds).collect()} == want
+    assert all("path" not in c for c in written[:8])  # the steps, then the walk
+    pairs = spark.createDataFrame([(s, d) for s in ("1x", "1y") for d in ends], "src string, dst string")
+    assert {(r.src, r.dst): r.path for r in graph.shortest_paths(edges, pairs).collect()} == want
