@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlake.functions import rules
+from graphlake.operators.staged import shuffled
 
 EDIT = "file string, line int, before string, after string, fixer string"
 OPENER = re.compile(rules.PYTHON_OPENER)
@@ -81,6 +82,21 @@ def patched(lines: DataFrame, edits: DataFrame) -> DataFrame:
     return left.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n").alias("text"))
 
 
+def applied(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """files (rel, text, ...) with the text after the edits, which is empty if all its lines go; a file without edits or without text stays as it is.
+
+    A file's edits travel to its text, and what lies between two of them is cut out of its lines, so no line is a row.
+    """
+    e = edits.groupBy(F.col("file").alias("rel")).agg(F.array_sort(F.collect_list(F.struct("line", "after"))).alias("__edits"))
+    both = files.join(shuffled(e), "rel", "left").withColumn("__lines", F.split("text", "\n", -1))
+    upto = lambda i: F.coalesce(F.get("__edits", i)["line"], F.lit(0))
+    made = lambda x: F.when(x["after"].isNull(), F.array().cast("array<string>")).otherwise(F.array(x["after"]))
+    head = F.transform("__edits", lambda x, i: F.concat(F.slice("__lines", upto(i - 1) + 1, x["line"] - upto(i - 1) - 1), made(x)))
+    last = upto(F.size("__edits") - 1)
+    new = F.array_join(F.concat(F.flatten(head), F.slice("__lines", last + 1, F.size("__lines") - last)), "\n")
+    return both.withColumn("text", F.when(F.col("__edits").isNotNull() & F.col("text").isNotNull(), new).otherwise(F.col("text"))).select(files.columns)
+
+
 def diffs(lines: DataFrame, edits: DataFrame, context: int = 3) -> DataFrame:
     """(file, diff): unified diffs; edits not over twice the context apart share a hunk."""
     at = Window.partitionBy("file").orderBy("line")
